@@ -1,0 +1,4 @@
+"""All queries of the library, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
