@@ -15,7 +15,8 @@ Work is on classes (distinct sets), so exact copies cost nothing beyond one aggr
 2. Links so found make components.  Where a bucket still holds several components, its members of
    different components are compared by their signatures, in blocks of BLOCK, and pairs are kept whose
    estimate allows the threshold (5 deviations); each pair in the first band that it shares.
-3. All these pairs are verified on their full shingle sets, and components made anew.
+3. The sets of those classes go to the tasks that hold their pairs.  A pair is verified on full sets
+   unless links before it have joined its components: so a task makes fewer links than it has members.
 
 Defined cases: null or empty text, or text without words, has no shingles, is linked with nothing and
 kept; a null doc_id is linked with nothing, its component is null and it is kept; rows that share a
@@ -40,7 +41,7 @@ BANDS, ROWS = 36, 7
 COORDS = BANDS * ROWS
 #: Estimates of a similarity of 0.85 from COORDS coordinates deviate by 0.0225; five times that is allowed.
 ESTIMATE = 0.85 - 5 * (0.85 * 0.15 / COORDS) ** 0.5
-BLOCK = 1024
+BLOCK = 512
 CHUNK = 1 << 15
 _STEP = 0x9E3779B9
 _HASH = Seen(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
@@ -136,56 +137,98 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long, estimate double")
 
 
-def _within(buckets: DataFrame) -> DataFrame:
-    """Pairs a, b of different components in one bucket whose sketches allow a link.
+def _grouped(batches, work):
+    """Feed rows that follow each other with the same first value to ``work``; it yields record batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != key:
+                if rows:
+                    yield from work(key, rows)
+                key, rows = row[0], []
+            rows.append(row[1:])
+    if rows:
+        yield from work(key, rows)
 
-    buckets: bucket, band, first and second (blocks of its members), and cls, comp, n, sketch, block of
-    a member of either; sorted by bucket and blocks within each partition.
+
+_PAIRS = pa.schema([("task", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("partners", pa.binary())])
+
+
+def _within(blocks: DataFrame) -> DataFrame:
+    """Pairs of classes of different components in one bucket whose sketches allow a link.
+
+    blocks: task (a bucket's pair of blocks), band, cls, comp, n_shingles, sketch, block; sorted by task within
+    each partition.  Returns a row for each class that has a pair: task, cls, comp and
+    ``partners``, the classes after it that it is to be compared with (packed, may be none).
     """
 
-    def pairs(band, rows):
-        cls, comp, n, sketch, block = (np.array([r[k] for r in rows]) if k != 3 else np.frombuffer(b"".join(r[k] for r in rows), np.uint8).reshape(-1, COORDS) for k in range(5))
+    def work(task, rows):
+        band, cls, comp, n, sketch, block = zip(*rows)
+        cls, comp, n, block = (np.array(x) for x in (cls, comp, n, block))
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDS)
+        one = block.min() == block.max()
         left = np.flatnonzero(block == block.min())
-        right = left if block.min() == block.max() else np.flatnonzero(block == block.max())
+        right = left if one else np.flatnonzero(block == block.max())
+        partners, needed = {}, set()
         for i in left:
-            j = right[right > i] if right is left else right
+            j = right[right > i] if one else right
             j = j[(comp[j] != comp[i]) & _sizes_allow(n[j], n[i])]
             if not len(j):
                 continue
             same = sketch[j] == sketch[i]
             e = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
             shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
-            j = j[(e >= ESTIMATE) & (shared.argmax(axis=1) == band)]
-            yield from ((int(cls[i]), int(x)) for x in cls[j])
+            j = j[(e >= ESTIMATE) & (shared.argmax(axis=1) == band[0])]
+            if len(j):
+                partners[i] = cls[j].astype("<i8").tobytes()
+                needed |= {i, *j.tolist()}
+        if needed:
+            k = sorted(needed)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(k), pa.int64()), pa.array(cls[k]), pa.array(comp[k]), pa.array([partners.get(i, b"") for i in k], pa.binary())], schema=_PAIRS)
 
-    def run(batches):
-        key, rows, out = None, [], []
-        for batch in batches:
-            for bucket, band, first, second, *r in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, band, first, second) != key:
-                    if key:
-                        out += pairs(key[1], rows)
-                    key, rows = (bucket, band, first, second), []
-                rows.append(r)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]})
-                out = []
-        if key:
-            out += pairs(key[1], rows)
-        if out:
-            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in out], "b": [b for _, b in out]})
-
-    return buckets.mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes that are links, by their full sets.  reps: cls and rep (a doc_id that has the set)."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
+    return blocks.mapInArrow(lambda batches: _grouped(batches, work), "task long, cls long, comp long, partners binary")
+
+
+def _is_link(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return LINK[1] * both >= LINK[0] * (len(x) + len(y) - both)
+
+
+def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b between components, enough of each task's to connect all that its pairs connect.
+
+    Every pair is verified on full sets unless links before it have joined its components.
+    """
+
+    def work(task, rows):
+        members = {cls: np.frombuffer(m, np.uint64) for cls, _, _, m in rows}
+        comps = {cls: comp for cls, comp, _, _ in rows}
+        root: dict[int, int] = {}
+
+        def find(x):
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        links = []
+        for cls, comp, partners, _ in rows:
+            for other in np.frombuffer(partners, "<i8").tolist():
+                x, y = find(comp), find(comps[other])
+                if x != y and _is_link(members[cls], members[other]):
+                    root[x] = y
+                    links.append((comp, comps[other]))
+        if links:
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
+
+    rows = pairs.join(sets, "cls").select("task", "cls", "comp", "partners", "members")
+    return rows.repartition("task").sortWithinPartitions("task", "cls").mapInArrow(lambda batches: _grouped(batches, work), "a long, b long")
+
+
+def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and members (packed shingle hashes) of classes.  reps: cls and rep, a doc_id that has the set."""
     # A doc_id may come with several texts; the class says which one is meant.
-    texts = text_only(docs).join(wanted.select(F.col("rep").alias("doc_id"), "cls"), "doc_id")
+    texts = text_only(docs).join(classes.select("cls").distinct().join(reps, "cls").select(F.col("rep").alias("doc_id"), "cls"), "doc_id")
 
     def load(batches):
         for batch in batches:
@@ -193,27 +236,28 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
             if seen:
                 yield pa.RecordBatch.from_pydict({"cls": pa.array([c for c, _ in seen], pa.int64()), "members": pa.array([m for _, m in seen], pa.binary())})
 
-    sets = cut(texts.select("text", "cls").mapInArrow(load, "cls long, members binary").dropDuplicates(["cls"]))
+    return cut(texts.select("text", "cls").mapInArrow(load, "cls long, members binary").dropDuplicates(["cls"]))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b of classes that are links."""
+    pairs = cut(pairs)
+    sets = _sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), reps, docs)
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("members").alias(f"{x}_members"))
 
     def test(batches):
         for batch in batches:
             if batch.num_rows:
-                yes = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    yes.append(LINK[1] * both >= LINK[0] * (len(x) + len(y) - both))
+                yes = [_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return cut(both.select("a", "b", "a_members", "b_members").mapInArrow(test, "a long, b long"))
+    return both.select("a", "b", "a_members", "b_members").mapInArrow(test, "a long, b long")
 
 
-def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """node (class), label (component) of all classes that have a link."""
+def linked(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """node, label of classes with a link to their pivot; and labels of those labels that further links join."""
     named = sigs.where("cls is not null and doc_id is not null")
-    # A class's rows have the same sketch and bands; arrays and bytes make no partial sums, ids do.
     classes = cut(named.select("cls", "n_shingles", "bands", "sketch").dropDuplicates(["cls"]))
     reps = cut(named.groupBy("cls").agg(F.min("doc_id").alias("rep")))
     members = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
@@ -221,31 +265,33 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     members = cut(members.join(crowded, "bucket"))
     central = members.groupBy("cls").agg(F.sum("n").alias("central"))
     pivots = members.join(central, "cls").groupBy("bucket").agg(F.max(F.struct("central", "cls")).alias("pivot"))
-    star = members.join(pivots, "bucket").select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b"), F.col("pivot.central").alias("central")).where("a <> b").distinct()
+    star = members.join(pivots, "bucket").select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b")).where("a <> b").distinct()
     best = _estimated(star, classes).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
-    links = verified(best.select("a", F.col("best.b").alias("b")), reps, docs)
-    labels = components.label(links)
+    # A pivot comes after its class in the order of (central, cls), so these links make trees.
+    labels = components.climb(_verified(best.select("a", F.col("best.b").alias("b")), reps, docs))
     # What shares a bucket and isn't in one component yet.
-    comp = F.coalesce("label", "cls").alias("comp")
-    rest = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "band", "cls", comp)
-    open_ = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.join(open_, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "cls", "comp", "block")
-    rest = rest.join(classes.select("cls", "n_shingles", "sketch"), "cls").select("bucket", "band", "first", "second", "cls", "comp", "n_shingles", "sketch", "block")
-    rest = rest.repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
-    more = verified(_within(rest), reps, docs)
-    return components.label(links.unionByName(more)) if not more.isEmpty() else labels
+    rest = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "band", "cls", F.coalesce("label", "cls").alias("comp"))
+    mixed_up = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
+    rest = rest.join(mixed_up, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumn("task", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    rest = rest.join(classes.select("cls", "n_shingles", "sketch"), "cls").select("task", "band", "cls", "comp", "n_shingles", "sketch", "block")
+    pairs = cut(_within(rest.repartition("task").sortWithinPartitions("task", "cls")))
+    if pairs.isEmpty():
+        return labels, None
+    more = cut(_settled(pairs, _sets(pairs, reps, docs)))
+    return labels, None if more.isEmpty() else components.label(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sigs = cut(signed(docs))
-    labels = linked(docs, sigs)
+    labels, further = linked(docs, sigs)
     ids = sigs.select("doc_id", "n_shingles", "cls")
     reps = ids.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     comps = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("comp"))
+    if further is not None:
+        comps = comps.join(further.withColumnRenamed("node", "comp"), "comp", "left").select("cls", "rep", F.coalesce("label", "comp").alias("comp"))
     least = comps.groupBy("comp").agg(F.min("rep").alias("component"))
     of_class = comps.join(least, "comp").select("cls", "component")
     out = ids.join(of_class, "cls", "left")
