@@ -8,9 +8,9 @@ appeared separate nothing: positions between two known borders share MIN_LENGTH
 
 A transform of the whole corpus doesn't fit a task, so text that may repeat is brought together first:
 
-1. Anchors.  Of each 100 bytes, the GRAM bytes of least hash (winnowing) are an anchor, so equal
-   strings of 100 bytes hold an equal anchor at the same place.  Anchors shuffle as hashes, with a hash
-   of their context: all strings of 100 bytes that hold the anchor lie within it.  Equal contexts
+1. Anchors.  Each string of 100 bytes belongs to the GRAM bytes of least hash in it (its minimizer),
+   so equal strings belong to equal anchors, at the same place.  Anchors shuffle as hashes, with a hash
+   of their context: the run of strings of 100 bytes that belong to them.  Equal contexts
    are one class, of which the first stands for all; those after it repeat it whole.  A task joins
    equal contexts before the shuffle, so a passage that a third of all documents share makes one row a task.
 2. Anchors with several distinct contexts: those contexts are cut from their documents and gathered by
@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +53,14 @@ _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at",
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     """Positions of ``text`` (integers under 257) in order of at least ``length`` symbols from there.
 
-    Prefix doubling that starts with seven symbols at once.
+    Prefix doubling (or tripling) that starts with seven symbols at once.
     """
     n = len(text)
     padded = np.concatenate([text.astype(np.int64), np.zeros(8, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key * 257 + padded[k : k + n]
-    rank, done, order = None, 7, None
+    done, parts = 7, 3 if n < 1 << 20 else 2  # ranks in one 63-bit key
     while True:
         order = np.argsort(key)
         s = key[order]
@@ -67,9 +68,11 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
         if done >= length or rank[order[-1]] == n - 1:
             return order
-        key = rank * (n + 1)
-        key[: max(n - done, 0)] += rank[done:] + 1
-        done *= 2
+        key = rank.copy()
+        for k in range(1, parts):
+            key *= n + 1
+            key[: max(n - k * done, 0)] += rank[k * done :] + 1
+        done *= parts
 
 
 def borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,7 @@ def borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     symbol = text[order].astype(np.int32)
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
+    came = np.empty(n, np.int64)
     lo, hi = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(lo):
@@ -95,8 +99,15 @@ def borders(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         to = step[inside]
         wrap = order[inside] != 0
         to, source = to[wrap], source[wrap]
-        by = np.argsort(to)
-        to, source = to[by], source[by]
+        if len(to) * 16 < n:
+            by = np.argsort(to)
+            to, source = to[by], source[by]
+        else:
+            came[to] = source
+            hit = np.zeros(n, bool)
+            hit[to] = True
+            to = np.flatnonzero(hit)
+            source = came[to]
         # An interval of the longer string: places from one interval with one extending symbol.
         new = np.ones(len(to), bool)
         new[1:] = (source[1:] != source[:-1]) | (symbol[to[1:]] != symbol[to[:-1]])
@@ -165,21 +176,22 @@ def anchors(texts: list[bytes], ids: list[int]) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     n = len(raw)
     gram = _grams(_BYTE[raw], GRAM)
-    order = mixed(gram) | np.uint64(1)
-    # Windows that cross a document's end are none: 0 takes no part in the greatest of least hashes.
-    least = _sliding(order, WINDOW, np.minimum)
-    for b, e in zip((begin + sizes - MIN_LENGTH + 1).tolist(), (begin + sizes).tolist()):
-        least[b:e] = 0
-    # The greatest of the windows that hold a place, which end there: mirrored, then as before.
-    most = _sliding(least[::-1], WINDOW, np.maximum)[::-1]
-    at = np.flatnonzero(most == order)
+    # The low bits of a hash give way to its place, so that a window's least value says where it is; ties go left.
+    low = np.uint64((1 << n.bit_length()) - 1)
+    least = _sliding(mixed(gram) & ~low | np.arange(n, dtype=np.uint64), WINDOW, np.minimum)
+    ends = begin + sizes - MIN_LENGTH + 1
+    valid = np.ones(n, bool)
+    for b, e in zip(ends.tolist(), (begin + sizes).tolist()):
+        valid[b:e] = False
+    window = np.flatnonzero(valid)
+    at = (least[window] & low).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(first[1:], len(at)) - 1
+    at, left, right = at[first], at[first] - window[first], window[last] + MIN_LENGTH - GRAM - at[first]
     doc = np.searchsorted(begin, at, "right") - 1
     inside = at - begin[doc]
-    ok = inside <= sizes[doc] - GRAM
-    at, doc, inside = at[ok], doc[ok], inside[ok]
-    left, right = np.minimum(inside, SIDE), np.minimum(sizes[doc] - inside - GRAM, SIDE)
     context = mixed((left * 256 + right).astype(np.uint64))
-    for k in range(0, 2 * SIDE + GRAM, GRAM):
+    for k in range(0, 2 * SIDE + GRAM, GRAM):  # grams that cover the context; at + right is where its last one starts
         context = mixed(context) + gram[np.minimum(at - left + k, at + right)]
     out = np.empty(len(at), _ANCHOR)
     out["gram"], out["context"], out["doc"], out["at"] = mixed(gram[at]), mixed(context), np.asarray(ids, np.int64)[doc], inside
@@ -188,11 +200,18 @@ def anchors(texts: list[bytes], ids: list[int]) -> np.ndarray:
 
 
 def _later(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors sorted by gram, context, place; and which of them repeat the context of one before."""
-    a = a[np.lexsort((a["at"], a["doc"], a["context"], a["gram"]))]
+    """The anchors, equal grams together and in order of context and place; and which repeat the context of one before."""
+    by = np.argsort(a["gram"])
+    equal = a["gram"][by]
+    equal = equal[1:] == equal[:-1]
+    many = np.zeros(len(a), bool)
+    many[by[1:][equal]] = True
+    many[by[:-1][equal]] = True
+    sub = a[many]
+    sub = sub[np.lexsort((sub["at"], sub["doc"], sub["context"], sub["gram"]))]
     again = np.zeros(len(a), bool)
-    again[1:] = (a["gram"][1:] == a["gram"][:-1]) & (a["context"][1:] == a["context"][:-1])
-    return a, again
+    again[1 : len(sub)] = (sub["gram"][1:] == sub["gram"][:-1]) & (sub["context"][1:] == sub["context"][:-1])
+    return np.concatenate([sub, a[~many]]), again
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[int, np.ndarray]:
@@ -281,7 +300,9 @@ def _compare(rows: DataFrame) -> DataFrame:
     def run(batches):
         key, held = None, []
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            done, batch = _final(batch)
+            yield done
+            for k, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if k != key and held:
                     yield from emit(held)
                     held = []
@@ -290,8 +311,18 @@ def _compare(rows: DataFrame) -> DataFrame:
         if held:
             yield from emit(held)
 
-    dealt = rows.where(F.col("kind") == ANCHORS).select("key", "data").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, _SCHEMA)
+    return _dealt(rows).mapInArrow(run, _SCHEMA)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows in order of kind and key; spans, which are final, go along so that nothing has to be made twice."""
+    return rows.repartition("kind", "key").sortWithinPartitions("kind", "key").select("kind", "key", "data")
+
+
+def _final(batch: pa.RecordBatch) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
+    """The spans of a batch, and its other rows."""
+    spans = pc.equal(batch.column(0), SPANS)
+    return batch.filter(spans), batch.filter(pc.invert(spans))
 
 
 _WANT = np.dtype([("gram", "<u8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -414,7 +445,9 @@ def _by_strings(contexts: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out[k : k + 2000], _ROW)
 
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            done, batch = _final(batch)
+            yield done
+            for k, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if k != key and held:
                     yield from emit()
                     held = []
@@ -423,9 +456,7 @@ def _by_strings(contexts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from emit()
 
-    sent = cut(contexts.select("doc_id", "start", "bytes").mapInArrow(run, _SCHEMA))
-    met = sent.where(F.col("kind") == ANCHORS).select("key", "data").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _SCHEMA)
-    return sent.where(F.col("kind") == SPANS).unionByName(met)
+    return _dealt(contexts.select("doc_id", "start", "bytes").mapInArrow(run, _SCHEMA)).mapInArrow(meet, _SCHEMA)
 
 
 # ---------------------------------------------------------------- the operator
@@ -435,16 +466,11 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans``: arrays of packed (start, end) pairs of bytes to remove, not yet joined."""
     docs = text_only(docs).where("doc_id is not null")
     buckets = 4 * partitions(docs)
-    found = cut(_find_anchors(docs, buckets))
-    compared = cut(_compare(found))
-    contexts = _cut_out(docs, compared.where(F.col("kind") == WANTED))
-    parts = [found.where(F.col("kind") == SPANS), compared.where(F.col("kind") == SPANS), _transforms(contexts)]
+    compared = cut(_compare(_find_anchors(docs, buckets)))
+    every = compared.where(F.col("kind") == SPANS).unionByName(_transforms(_cut_out(docs, compared.where(F.col("kind") == WANTED))))
     hot = compared.where(F.col("kind") == HOT)
     if not hot.isEmpty():
-        parts.append(_by_strings(_cut_out(docs, hot), buckets))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.unionByName(_by_strings(_cut_out(docs, hot), buckets))
     return every.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("data").alias("spans"))
 
 
