@@ -28,7 +28,7 @@ from .common import as_bytes, map_rows, text_only
 
 #: Pieces the memo holds, the longest kept there (and merged in step with others), and how many
 #: characters of text are split at once.
-MEMO, LONGEST, BATCH = 1_000_000, 64, 1_000_000
+MEMO, LONGEST, BATCH = 600_000, 64, 1_000_000
 
 
 def merge(word: bytes, pairs: dict[tuple[int, int], int], single: list[int]) -> list[int]:

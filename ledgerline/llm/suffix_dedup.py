@@ -14,8 +14,8 @@ A transform of the whole corpus doesn't fit a task, so text that may repeat is b
    are one class, of which the first stands for all; those after it repeat it whole.  A task joins
    equal contexts before the shuffle, so a passage that a third of all documents share makes one row a task.
 2. Anchors with several distinct contexts: those contexts are cut from their documents and gathered by
-   anchor, and each group of CHUNK contexts is one transform.
-3. An anchor with more contexts than that goes another exact way: its contexts' strings of
+   anchor, and each group of CHUNK contexts (up to MOST if one anchor has them) is one transform.
+3. An anchor with more contexts goes another exact way: its contexts' strings of
    100 bytes are dealt by their own hashes.
 
 Defined cases: null and empty text has no bytes; texts under MIN_LENGTH bytes lose nothing; a null
@@ -40,8 +40,9 @@ GRAM = 32
 #: Starts of grams in MIN_LENGTH bytes; bytes of context on each side of an anchor.
 WINDOW = MIN_LENGTH - GRAM + 1
 SIDE = MIN_LENGTH - GRAM
-#: Contexts in one transform; bytes of text that are hashed at once; anchors a task holds before it sends them.
-CHUNK, BATCH, HELD = 8192, 1 << 21, 1 << 20
+#: Contexts in one transform, and those of one anchor beyond which its strings are dealt by hash; bytes of text
+#: that are hashed at once; anchors a task holds before it sends them.
+CHUNK, MOST, BATCH, HELD = 4096, 8192, 1 << 19, 1 << 19
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 _ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -290,7 +291,7 @@ def _compare(rows: DataFrame) -> DataFrame:
         gram = first["gram"]
         start, end = (np.array(x, np.int64) for x in _runs(gram))
         n = np.repeat(end - start, end - start)
-        for kind, which in ((WANTED, (n > 1) & (n <= CHUNK)), (HOT, n > CHUNK)):
+        for kind, which in ((WANTED, (n > 1) & (n <= MOST)), (HOT, n > MOST)):
             f = first[which]
             f = f[np.lexsort((f["at"], f["doc"]))]
             out += _rows(kind, ((int(f["doc"][k]), f[["gram", "at", "left", "right"]][k:z].astype(_WANT)) for k, z in zip(*_runs(f["doc"]))))
@@ -357,7 +358,7 @@ def _starts_to_rows(doc: np.ndarray, at: np.ndarray) -> list[dict]:
 
 
 def _transforms(contexts: DataFrame) -> DataFrame:
-    """Spans from transforms of at most CHUNK contexts (more only if one anchor has them)."""
+    """Spans from transforms of at most CHUNK contexts (up to MOST if one anchor has them)."""
 
     def work(rows):
         doc = np.array([r[1] for r in rows], np.int64)
