@@ -348,7 +348,7 @@ ranked AS (SELECT doc_id, lang || '/' || source AS stratum, row_number() OVER w
   FROM documents WINDOW w AS (PARTITION BY lang, source ORDER BY n_chars, doc_id)),
 picked AS (SELECT * FROM ranked WHERE n <= 3 OR rn - 1 IN (0, round_even((n - 1) / 2, 0), n - 1))
 """
-_SIZES_SQL = ", ".join(f"('{n}', {h}, {k}, {p}::DOUBLE)" for n, h, k, p in estimate.SIZES)
+_SIZES_SQL = ", ".join(f"('{n}', {h}::BIGINT, {k}::BIGINT, {p}::DOUBLE)" for n, h, k, p in estimate.SIZES)
 _GPUS_SQL = ", ".join(f"('{n}', {s}::DOUBLE, {m}::DOUBLE, {'NULL' if r is None else r}::DOUBLE)" for n, s, m, r in estimate.GPUS)
 _PREFIX_SQL = "CASE " + " ".join(f"WHEN {_u(7, 'c_custkey', 'd')} < {sum(w for _, w in synth.PREFIXES[: k + 1])}.0::DOUBLE / {sum(w for _, w in synth.PREFIXES)} THEN '{v}'" for k, (v, _) in enumerate(synth.PREFIXES[:-1])) + f" ELSE '{synth.PREFIXES[-1][0]}' END"
 
@@ -454,7 +454,7 @@ ORACLE_SQL = {
     "run_estimate": f"""WITH s(size, h, k, p) AS (VALUES {_SIZES_SQL}), g(gpu, f, m, r) AS (VALUES {_GPUS_SQL}),
         b AS (SELECT s.*, g.*, r_regionkey, batch, p * 2 * 1.15::DOUBLE + batch * 512 * 248320 * 7 / 1e9 + h * k * batch * 512 * 16 / 1e9 AS vram FROM s, g, region, (SELECT unnest([1, 2, 4, 8, 16, 32, 64])::BIGINT AS batch)),
         c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY size, gpu, r_regionkey ORDER BY CASE WHEN vram <= m * 0.9::DOUBLE THEN batch ELSE 0 END DESC, batch) = 1),
-        v AS (SELECT *, 21.1::DOUBLE * f / ((12 * h * h * k + 2 * h * 248320) / (12 * 1024 * 1024 * 24 + 2 * 1024 * 248320)) * 1.2::DOUBLE * CASE WHEN batch < 64 THEN pow(batch / 64, 0.25::DOUBLE) ELSE 1 END AS sps FROM c),
+        v AS (SELECT *, 21.1::DOUBLE * f / ((12 * h * h * k + 2 * h * 248320) / (12 * 1024::BIGINT * 1024 * 24 + 2 * 1024 * 248320)) * 1.2::DOUBLE * CASE WHEN batch < 64 THEN pow(batch / 64, 0.25::DOUBLE) ELSE 1 END AS sps FROM c),
         w AS (SELECT *, (r_regionkey + 1) * 100000 * 3 / sps / 3600 AS hours FROM v)
       SELECT size, gpu, r_regionkey, batch::INT AS batch, round(vram, 4) AS vram, round(sps, 4) AS sps, round(hours, 4) AS hours, round(hours * r, 4) AS cost, greatest(1, ceil(floor(hours) / 24))::BIGINT AS jobs FROM w""",
 }
