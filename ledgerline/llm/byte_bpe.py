@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, map_rows, text_only
+from .common import as_bytes, forgets, map_rows, text_only
 
 #: Pieces the memo holds, the longest kept there (and merged in step with others), and how many
 #: characters of text are split at once.
@@ -269,6 +269,9 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+forgets(__name__, codec.cache_clear)
+
+
 def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 

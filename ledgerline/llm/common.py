@@ -46,13 +46,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Rows that are Python objects at a time.
+SLICE = 1024
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE, none empty."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """One output row for each input row; ``make`` gets a batch and returns columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(make(batch))
+        alone(make.__module__)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(make(batch))
 
     return df.mapInArrow(run, schema)
 
@@ -62,6 +73,26 @@ def text_only(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+#: How to drop what a module keeps in a Python worker from task to task; and the module that ran last.
+_FORGET: dict[str, Callable[[], None]] = {}
+_RAN: list[str] = [""]
+
+
+def forgets(module: str, drop: Callable[[], None]) -> None:
+    """Register how to drop the module's memo."""
+    _FORGET[module] = drop
+
+
+def alone(module: str) -> None:
+    """A task of ``module`` begins here: drop the memos of other modules, as a worker outlives its stage."""
+    if _RAN[0] != module:
+        _RAN[0] = module
+        for other, drop in _FORGET.items():
+            if other != module:
+                drop()
+        pa.default_memory_pool().release_unused()
+
+
 class Seen(dict):
     """A bounded memo: forgets everything when full, so memory doesn't follow the data."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .common import Seen, as_bytes, cut, mixed, text_only
+from .common import Seen, alone, as_bytes, cut, forgets, mixed, slices, text_only
 
 SHINGLE = 5
 #: Link if LINK[1] * intersection >= LINK[0] * union.
@@ -45,6 +45,7 @@ BLOCK = 512
 CHUNK = 1 << 15
 _STEP = 0x9E3779B9
 _HASH = Seen(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
+forgets(__name__, _HASH.clear)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -90,6 +91,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (hash of the set), bands (hashes) and sketch (a byte of each coordinate)."""
 
     def run(batches):
+        alone(__name__)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -139,8 +141,9 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def _grouped(batches, work):
     """Feed rows that follow each other with the same first value to ``work``; it yields record batches."""
+    alone(__name__)
     key, rows = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[0] != key:
                 if rows:
@@ -231,7 +234,8 @@ def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = text_only(docs).join(classes.select("cls").distinct().join(reps, "cls").select(F.col("rep").alias("doc_id"), "cls"), "doc_id")
 
     def load(batches):
-        for batch in batches:
+        alone(__name__)
+        for batch in slices(batches):
             seen = [(c, s.tobytes()) for c, s in ((c, shingles(t)) for t, c in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist())) if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == c]
             if seen:
                 yield pa.RecordBatch.from_pydict({"cls": pa.array([c for c, _ in seen], pa.int64()), "members": pa.array([m for _, m in seen], pa.binary())})
@@ -248,7 +252,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     def test(batches):
         for batch in batches:
             if batch.num_rows:
-                yes = [_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yes = [_is_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")

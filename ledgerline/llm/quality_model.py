@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_rows, text_only
+from .common import alone, as_bytes, map_rows, slices, text_only
 
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST, DECAY = 80, 4, 0.12, 48, 8, 1.0
@@ -174,9 +174,9 @@ def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([statistics(t) for t in as_bytes(batch.column(batch.schema.get_field_index("text")))])
-                yield batch.filter(pa.array(shared.value.score(x) >= KEEP_FROM))
+        alone(__name__)
+        for batch in slices(batches):
+            x = np.array([statistics(t) for t in as_bytes(batch.column(batch.schema.get_field_index("text")))])
+            yield batch.filter(pa.array(shared.value.score(x) >= KEEP_FROM))
 
     return docs.mapInArrow(run, docs.schema)

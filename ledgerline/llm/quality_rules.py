@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Seen, as_bytes, map_rows, mixed, text_only
+from .common import Seen, as_bytes, forgets, map_rows, mixed, text_only
 
 RISK, ERROR, STRATA = 0.05, 0.05, 64
 #: Statistic, and whether a document is rejected above or below the cutoff; from mild to strict.
@@ -42,6 +42,7 @@ RULES = {
 SYMBOLS = b"#*$%&|<>"
 _OTHERS = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 _HASH = Seen(lambda w: xxhash.xxh3_64_intdigest(w), 300_000)
+forgets(__name__, _HASH.clear)
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int, int]:

@@ -7,10 +7,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import avi_mjpeg, byte_bpe, components, line_dedup, mixing, near_dup, preferences, quality_model, quality_rules, sharding, suffix_dedup
+from ledgerline.llm import avi_mjpeg, byte_bpe, common, components, line_dedup, mixing, near_dup, preferences, quality_model, quality_rules, sharding, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lost string, text_ string, rank int, cls int, spans string, task int"
 
@@ -335,3 +336,20 @@ def test_empty_and_null_ids(spark, docs, run):
     assert run(docs.limit(0)).count() == 0
     odd = table(spark, [(None, "one two three four five"), (None, "one two three four five"), (None, None), (7, "one two three four five"), (7, "one two three four five")])
     assert run(odd).count() > 0
+
+
+def test_memos_of_other_modules_end_with_their_stage():
+    near_dup._HASH.clear()
+    common.alone(near_dup.__name__)
+    near_dup.shingles(b"one two three four five six")
+    common.alone(near_dup.__name__)
+    assert len(near_dup._HASH) == 6
+    common.alone(byte_bpe.__name__)
+    assert not near_dup._HASH
+
+
+def test_slices_keep_every_row():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(2 * common.SLICE + 1))})
+    parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [common.SLICE, common.SLICE, 1]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
