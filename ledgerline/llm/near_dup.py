@@ -14,7 +14,7 @@ Work is on classes (distinct sets), so exact copies cost nothing beyond one aggr
    pivot only, so a bucket makes as many pairs as it has members.
 2. Links so found make components.  Where a bucket still holds several components, its members of
    different components are compared by their signatures, in blocks of BLOCK, and pairs are kept whose
-   estimate allows the threshold (5 deviations); each pair in the first band that it shares.
+   estimate allows the threshold (5 deviations); each pair in the first band whose bucket both are in.
 3. The sets of those classes go to the tasks that hold their pairs.  A pair is verified on full sets
    unless links before it have joined its components: so a task makes fewer links than it has members.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components
@@ -157,18 +157,24 @@ def _grouped(batches, work):
 _PAIRS = pa.schema([("task", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("partners", pa.binary())])
 
 
+def _packed(bands: Column) -> Column:
+    """The hashes of a class's bands as one binary, 8 bytes each."""
+    return F.unhex(F.array_join(F.transform(bands, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
 def _within(blocks: DataFrame) -> DataFrame:
     """Pairs of classes of different components in one bucket whose sketches allow a link.
 
-    blocks: task (a bucket's pair of blocks), band, cls, comp, n_shingles, sketch, block; sorted by task within
-    each partition.  Returns a row for each class that has a pair: task, cls, comp and
+    blocks: task (a bucket's pair of blocks), band, cls, comp, n_shingles, sketch, keys (the bands' hashes, packed),
+    block; sorted by task within each partition.  Returns a row for each class that has a pair: task, cls, comp and
     ``partners``, the classes after it that it is to be compared with (packed, may be none).
     """
 
     def work(task, rows):
-        band, cls, comp, n, sketch, block = zip(*rows)
+        band, cls, comp, n, sketch, keys, block = zip(*rows)
         cls, comp, n, block = (np.array(x) for x in (cls, comp, n, block))
         sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDS)
+        keys = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, BANDS)
         one = block.min() == block.max()
         left = np.flatnonzero(block == block.min())
         right = left if one else np.flatnonzero(block == block.max())
@@ -178,10 +184,9 @@ def _within(blocks: DataFrame) -> DataFrame:
             j = j[(comp[j] != comp[i]) & _sizes_allow(n[j], n[i])]
             if not len(j):
                 continue
-            same = sketch[j] == sketch[i]
-            e = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
-            j = j[(e >= ESTIMATE) & (shared.argmax(axis=1) == band[0])]
+            j = j[_agree(sketch[j], sketch[i]) >= ESTIMATE]
+            # By the hashes that made the buckets: sketches may agree in a band that isn't shared.
+            j = j[(keys[j] == keys[i]).argmax(axis=1) == band[0]]
             if len(j):
                 partners[i] = cls[j].astype("<i8").tobytes()
                 needed |= {i, *j.tolist()}
@@ -279,7 +284,7 @@ def linked(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | Non
     rest = rest.join(mixed_up, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("task", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
-    rest = rest.join(classes.select("cls", "n_shingles", "sketch"), "cls").select("task", "band", "cls", "comp", "n_shingles", "sketch", "block")
+    rest = rest.join(classes.select("cls", "n_shingles", "sketch", _packed(F.col("bands")).alias("keys")), "cls").select("task", "band", "cls", "comp", "n_shingles", "sketch", "keys", "block")
     pairs = cut(_within(rest.repartition("task").sortWithinPartitions("task", "cls")))
     if pairs.isEmpty():
         return labels, None

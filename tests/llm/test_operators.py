@@ -146,6 +146,17 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert {i: r.component_id for i, r in by_id(near_dup.near_duplicates(table(spark, rows.items()))).items()} == want
 
 
+def test_near_duplicates_whose_sketches_agree_in_a_band_that_is_not_shared(spark):
+    """Band 0 agrees in every low byte but not in its hash; the pair's first shared bucket is band 1's."""
+    low = bytes(range(near_dup.COORDS))
+    bands = [[*range(near_dup.BANDS)], [-1, *range(1, near_dup.BANDS)]]
+    rows = [(7, 1, cls, cls, 100, low, bands[cls], 0) for cls in (0, 1)]
+    blocks = spark.createDataFrame(rows, "task long, band int, cls long, comp long, n_shingles long, sketch binary, bands array<long>, block int")
+    columns = ["task", "band", "cls", "comp", "n_shingles", "sketch", near_dup._packed(F.col("bands")).alias("keys"), "block"]
+    pairs = by_id(near_dup._within(blocks.coalesce(1).select(*columns)).withColumnRenamed("cls", "doc_id"))
+    assert np.frombuffer(pairs[0].partners, "<i8").tolist() == [1] and set(pairs) == {0, 1}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
