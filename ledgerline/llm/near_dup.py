@@ -4,8 +4,8 @@ Signature.  A set's 64-bit shingle hashes are brought to the 32-bit circle by on
 coordinate k is the least value of a second permutation on the circle, shifted by k steps.  So two
 permutations make all coordinates (circulant MinHash).
 
-Candidates.  BANDS bands of ROWS coordinates.  At the threshold of 0.85 a pair of sets shares no
-band with a chance of (1 - 0.85^7)^36, about one in a million.
+Candidates.  Bands of a few coordinates each.  A pair of sets at the threshold shares no band with a
+chance of about one in a million: (1 - 0.85^7)^36 for QUERY, (1 - 0.8^6)^46 for STAGE.
 
 Work is on classes (distinct sets), so exact copies cost nothing beyond one aggregation:
 
@@ -25,6 +25,8 @@ doc_id are all reported, and are one document if kept; ties go to the least doc_
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,12 +37,29 @@ from . import components
 from .common import Seen, alone, as_bytes, cut, forgets, mixed, slices, text_only
 
 SHINGLE = 5
-#: Link if LINK[1] * intersection >= LINK[0] * union.
-LINK = (85, 100)
-BANDS, ROWS = 36, 7
-COORDS = BANDS * ROWS
-#: Estimates of a similarity of 0.85 from COORDS coordinates deviate by 0.0225; five times that is allowed.
-ESTIMATE = 0.85 - 5 * (0.85 * 0.15 / COORDS) ** 0.5
+
+
+class Contract(NamedTuple):
+    """What is a link, and the bands that find them: link if link[1] * intersection >= link[0] * union."""
+
+    link: tuple[int, int]
+    bands: int
+    rows: int
+
+    @property
+    def coords(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def estimate(self) -> float:
+        """The least estimate of a pair that may be a link: estimates from all coordinates may deviate five times."""
+        at = self.link[0] / self.link[1]
+        return at - 5 * (at * (1 - at) / self.coords) ** 0.5
+
+
+#: The op2 query, and so far the pipeline, link at 0.85; STAGE links at 0.8.
+QUERY, STAGE = Contract((85, 100), 36, 7), Contract((80, 100), 46, 6)
+COORDS = QUERY.coords
 BLOCK = 512
 CHUNK = 1 << 15
 _STEP = 0x9E3779B9
@@ -62,9 +81,9 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mixed(out) + np.uint64(k))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDS circulant coordinates of each set; none may be empty."""
-    out = np.empty((len(sets), COORDS), np.uint32)
+def signatures(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
+    """Circulant coordinates of each set; none may be empty."""
+    out = np.empty((len(sets), coords), np.uint32)
     at = 0
     while at < len(sets):
         part, weight = [], 0
@@ -75,7 +94,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         x = (mixed(np.concatenate(part)) >> np.uint64(32)).astype(np.uint32)  # the first permutation
         starts = np.cumsum([0] + [len(s) for s in part[:-1]])
         y, z = np.empty_like(x), np.empty_like(x)
-        for k in range(COORDS):
+        for k in range(coords):
             np.add(x, np.uint32(k * _STEP & 0xFFFFFFFF), out=y)  # the shift
             y *= np.uint32(0x7FEB352D)  # the second permutation
             np.right_shift(y, np.uint32(15), out=z)
@@ -87,7 +106,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, how: Contract = QUERY) -> DataFrame:
     """doc_id, n_shingles, cls (hash of the set), bands (hashes) and sketch (a byte of each coordinate)."""
 
     def run(batches):
@@ -99,10 +118,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 cls, bands, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 if full:
-                    sig = signatures([sets[k] for k in full])
-                    b = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                    for r in range(ROWS):
-                        b = mixed(b) + sig.reshape(-1, BANDS, ROWS)[:, :, r]
+                    sig = signatures([sets[k] for k in full], how.coords)
+                    b = np.zeros((len(full), how.bands), np.uint64) + np.arange(how.bands, dtype=np.uint64)
+                    for r in range(how.rows):
+                        b = mixed(b) + sig.reshape(-1, how.bands, how.rows)[:, :, r]
                     b = mixed(b).view(np.int64)
                     low = sig.astype(np.uint8)
                     for j, k in enumerate(full):
@@ -119,22 +138,22 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _sizes_allow(a, b):
-    return LINK[1] * np.minimum(a, b) >= LINK[0] * np.maximum(a, b)
+def _sizes_allow(a, b, link: tuple[int, int]):
+    return link[1] * np.minimum(a, b) >= link[0] * np.maximum(a, b)
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, sketches: DataFrame, how: Contract = QUERY) -> DataFrame:
     """a, b and the estimate of pairs that may be links."""
     s = lambda x: sketches.select(F.col("cls").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n_shingles").alias(f"{x}_n"))
-    rows = pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").where(LINK[1] * F.least("a_n", "b_n") >= LINK[0] * F.greatest("a_n", "b_n"))
+    rows = pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").where(how.link[1] * F.least("a_n", "b_n") >= how.link[0] * F.greatest("a_n", "b_n"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDS) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, how.coords) for k in (2, 3))
                 e = _agree(x, y)
                 out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e)], ["a", "b", "estimate"])
-                yield out.filter(pa.array(e >= ESTIMATE))
+                yield out.filter(pa.array(e >= how.estimate))
 
     return rows.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long, estimate double")
 
@@ -162,7 +181,7 @@ def _packed(bands: Column) -> Column:
     return F.unhex(F.array_join(F.transform(bands, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def _within(blocks: DataFrame) -> DataFrame:
+def _within(blocks: DataFrame, how: Contract = QUERY) -> DataFrame:
     """Pairs of classes of different components in one bucket whose sketches allow a link.
 
     blocks: task (a bucket's pair of blocks), band, cls, comp, n_shingles, sketch, keys (the bands' hashes, packed),
@@ -173,18 +192,18 @@ def _within(blocks: DataFrame) -> DataFrame:
     def work(task, rows):
         band, cls, comp, n, sketch, keys, block = zip(*rows)
         cls, comp, n, block = (np.array(x) for x in (cls, comp, n, block))
-        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDS)
-        keys = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, BANDS)
+        sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, how.coords)
+        keys = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, how.bands)
         one = block.min() == block.max()
         left = np.flatnonzero(block == block.min())
         right = left if one else np.flatnonzero(block == block.max())
         partners, needed = {}, set()
         for i in left:
             j = right[right > i] if one else right
-            j = j[(comp[j] != comp[i]) & _sizes_allow(n[j], n[i])]
+            j = j[(comp[j] != comp[i]) & _sizes_allow(n[j], n[i], how.link)]
             if not len(j):
                 continue
-            j = j[_agree(sketch[j], sketch[i]) >= ESTIMATE]
+            j = j[_agree(sketch[j], sketch[i]) >= how.estimate]
             # By the hashes that made the buckets: sketches may agree in a band that isn't shared.
             j = j[(keys[j] == keys[i]).argmax(axis=1) == band[0]]
             if len(j):
@@ -197,12 +216,12 @@ def _within(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(lambda batches: _grouped(batches, work), "task long, cls long, comp long, partners binary")
 
 
-def _is_link(x: np.ndarray, y: np.ndarray) -> bool:
+def _is_link(x: np.ndarray, y: np.ndarray, link: tuple[int, int]) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return LINK[1] * both >= LINK[0] * (len(x) + len(y) - both)
+    return link[1] * both >= link[0] * (len(x) + len(y) - both)
 
 
-def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _settled(pairs: DataFrame, sets: DataFrame, how: Contract = QUERY) -> DataFrame:
     """Links a, b between components, enough of each task's to connect all that its pairs connect.
 
     Every pair is verified on full sets unless links before it have joined its components.
@@ -223,7 +242,7 @@ def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for cls, comp, partners, _ in rows:
             for other in np.frombuffer(partners, "<i8").tolist():
                 x, y = find(comp), find(comps[other])
-                if x != y and _is_link(members[cls], members[other]):
+                if x != y and _is_link(members[cls], members[other], how.link):
                     root[x] = y
                     links.append((comp, comps[other]))
         if links:
@@ -248,7 +267,7 @@ def _sets(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(texts.select("text", "cls").mapInArrow(load, "cls long, members binary").dropDuplicates(["cls"]))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, how: Contract = QUERY) -> DataFrame:
     """The pairs a, b of classes that are links."""
     pairs = cut(pairs)
     sets = _sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), reps, docs)
@@ -257,14 +276,14 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     def test(batches):
         for batch in batches:
             if batch.num_rows:
-                yes = [_is_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+                yes = [_is_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), how.link) for x, y in zip(batch.column(2), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(yes))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "a_members", "b_members").mapInArrow(test, "a long, b long")
 
 
-def linked(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def linked(docs: DataFrame, sigs: DataFrame, how: Contract = QUERY) -> tuple[DataFrame, DataFrame | None]:
     """node, label of classes with a link to their pivot; and labels of those labels that further links join."""
     named = sigs.where("cls is not null and doc_id is not null")
     classes = cut(named.select("cls", "n_shingles", "bands", "sketch").dropDuplicates(["cls"]))
@@ -275,9 +294,9 @@ def linked(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | Non
     central = members.groupBy("cls").agg(F.sum("n").alias("central"))
     pivots = members.join(central, "cls").groupBy("bucket").agg(F.max(F.struct("central", "cls")).alias("pivot"))
     star = members.join(pivots, "bucket").select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b")).where("a <> b").distinct()
-    best = _estimated(star, classes).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
+    best = _estimated(star, classes, how).groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best"))
     # A pivot comes after its class in the order of (central, cls), so these links make trees.
-    labels = components.climb(_verified(best.select("a", F.col("best.b").alias("b")), reps, docs))
+    labels = components.climb(_verified(best.select("a", F.col("best.b").alias("b")), reps, docs, how))
     # What shares a bucket and isn't in one component yet.
     rest = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "band", "cls", F.coalesce("label", "cls").alias("comp"))
     mixed_up = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
@@ -285,17 +304,17 @@ def linked(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame | Non
     rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumn("task", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
     rest = rest.join(classes.select("cls", "n_shingles", "sketch", _packed(F.col("bands")).alias("keys")), "cls").select("task", "band", "cls", "comp", "n_shingles", "sketch", "keys", "block")
-    pairs = cut(_within(rest.repartition("task").sortWithinPartitions("task", "cls")))
+    pairs = cut(_within(rest.repartition("task").sortWithinPartitions("task", "cls"), how))
     if pairs.isEmpty():
         return labels, None
-    more = cut(_settled(pairs, _sets(pairs, reps, docs)))
+    more = cut(_settled(pairs, _sets(pairs, reps, docs), how))
     return labels, None if more.isEmpty() else components.label(more)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: Contract = QUERY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    sigs = cut(signed(docs))
-    labels, further = linked(docs, sigs)
+    sigs = cut(signed(docs, how))
+    labels, further = linked(docs, sigs, how)
     ids = sigs.select("doc_id", "n_shingles", "cls")
     reps = ids.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     comps = reps.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("comp"))
@@ -308,8 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, how: Contract = QUERY) -> DataFrame:
     """One document of each component, with its columns; rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
+    kept = near_duplicates(docs, how).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -149,7 +149,7 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
 def test_near_duplicates_whose_sketches_agree_in_a_band_that_is_not_shared(spark):
     """Band 0 agrees in every low byte but not in its hash; the pair's first shared bucket is band 1's."""
     low = bytes(range(near_dup.COORDS))
-    bands = [[*range(near_dup.BANDS)], [-1, *range(1, near_dup.BANDS)]]
+    bands = [[*range(near_dup.QUERY.bands)], [-1, *range(1, near_dup.QUERY.bands)]]
     rows = [(7, 1, cls, cls, 100, low, bands[cls], 0) for cls in (0, 1)]
     blocks = spark.createDataFrame(rows, "task long, band int, cls long, comp long, n_shingles long, sketch binary, bands array<long>, block int")
     columns = ["task", "band", "cls", "comp", "n_shingles", "sketch", near_dup._packed(F.col("bands")).alias("keys"), "block"]
@@ -157,6 +157,25 @@ def test_near_duplicates_whose_sketches_agree_in_a_band_that_is_not_shared(spark
     assert np.frombuffer(pairs[0].partners, "<i8").tolist() == [1] and set(pairs) == {0, 1}
 
 
+def test_near_duplicates_at_either_threshold(spark):
+    """Links at 0.8 and at 0.85 are those that brute force finds."""
+    rng = random.Random(8)
+    rows = {}
+    for k in range(30):
+        w = words(rng, 150).split()
+        rows[2 * k] = " ".join(w)
+        for i in range(k % 5):
+            w[20 + 25 * i] = "edit"
+        rows[2 * k + 1] = " ".join(w)
+    left = []
+    sets, docs = {i: sets_of(t) for i, t in rows.items()}, table(spark, rows.items())
+    for at, kept in ((80, near_dup.keep_first(docs, near_dup.STAGE)), (85, near_dup.keep_first(docs))):
+        want = components_of(sets, lambda a, b: 100 * len(a & b) >= at * len(a | b))
+        assert {r.doc_id for r in kept.collect()} == set(want.values())
+        left.append(len(set(want.values())))
+    assert left[0] < left[1]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
