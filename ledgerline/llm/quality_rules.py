@@ -10,8 +10,9 @@ without one rejects nothing.  So with probability ``1 - ERROR``, in every stratu
 share RISK of good documents is rejected by the rules together.
 
 What is counted for each rule, stratum and cutoff is a sum over all labelled documents, made where
-the rows are; only the table of counts (rules x strata x grid) reaches the driver.  At most
-STRATA strata get cutoffs of their own; the others are taken together.
+the rows are; only the counts (rules x grid) of strata with enough good documents to show a bound
+(``enough``) reach the driver, and the cutoffs go back as a table that is joined.  Every stratum
+counts for Bonferroni.
 
 Defined cases: null and empty text has no words and fails the base rule; null or unknown languages
 are a stratum of their own; without labelled good documents only the base rule rejects; a doc_id
@@ -28,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Seen, as_bytes, forgets, map_rows, mixed, text_only
+from .common import Seen, as_bytes, cut, forgets, map_rows, mixed, text_only
 
-RISK, ERROR, STRATA = 0.05, 0.05, 64
+RISK, ERROR = 0.05, 0.05
 #: Statistic, and whether a document is rejected above or below the cutoff; from mild to strict.
 RULES = {
     "symbol_share": ("above", [0.3, 0.2, 0.15, 0.1, 0.075, 0.05, 0.035, 0.025, 0.02, 0.015, 0.01, 0.0075, 0.005]),
@@ -110,9 +111,21 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return hi
 
 
-def choose(table: dict[str, tuple[int, dict[str, list[int]]]]) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule from the number of good documents and how many each cutoff rejects."""
-    error = ERROR / (len(RULES) * max(len(table), 1))
+def _error(strata: int) -> float:
+    return ERROR / (len(RULES) * max(strata, 1))
+
+
+def enough(strata: int) -> int:
+    """Good documents without which no cutoff can be allowed, even if it rejects none of them."""
+    return math.floor(math.log(_error(strata)) / math.log1p(-RISK / len(RULES)))
+
+
+def choose(table: dict[str, tuple[int, dict[str, list[int]]]], strata: int | None = None) -> dict[str, dict[str, float]]:
+    """Cutoffs by stratum and rule from the number of good documents and how many each cutoff rejects.
+
+    strata: how many there are, if the table leaves out some that can't get a cutoff.
+    """
+    error = _error(len(table) if strata is None else strata)
     risk = RISK / len(RULES)
     out: dict[str, dict[str, float]] = {}
     for stratum, (n, rejected) in table.items():
@@ -136,18 +149,21 @@ def fit(rows: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
     )
     sums = [F.count_if(_rejects(rule, cutoff)).alias(f"{rule}_{k}") for rule, (_, grid) in RULES.items() for k, cutoff in enumerate(grid)]
     tallies = rows.join(good.select("doc_id"), "doc_id", "left_semi").where("not base_failed").groupBy(F.coalesce("lang", F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *sums)
-    table = {}
-    for r in tallies.orderBy(F.desc("n"), "stratum").limit(STRATA).collect():
+    tallies, table = cut(tallies), {}
+    strata = tallies.count()
+    for r in tallies.where(F.col("n") >= enough(strata)).collect():
         table[r.stratum] = (r.n, {rule: [r[f"{rule}_{k}"] for k in range(len(grid))] for rule, (_, grid) in RULES.items()})
-    return choose(table)
+    return choose(table, strata)
 
 
 def judge(rows: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
     """base_failed and kept, and the first rule that rejects."""
-    stratum = F.coalesce("lang", F.lit(""))
-    hits = [F.when((stratum == s) & _rejects(rule, c), F.lit(rule)) for s, found in cutoffs.items() for rule, c in found.items()]
-    rejected_by = F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(*hits, F.lit(None).cast("string")))
-    return rows.withColumn("rejected_by", rejected_by).withColumn("kept", F.col("rejected_by").isNull())
+    found = [(s, *(c.get(rule) for rule in RULES)) for s, c in cutoffs.items()]
+    table = rows.sparkSession.createDataFrame(found, ", ".join(["_stratum string", *(f"_{rule} double" for rule in RULES)]))
+    hits = [F.when(_rejects(rule, F.col(f"_{rule}")), F.lit(rule)) for rule in RULES]
+    rejected_by = F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(*hits))
+    joined = rows.withColumn("_stratum", F.coalesce("lang", F.lit(""))).join(F.broadcast(table), "_stratum", "left")
+    return joined.withColumn("rejected_by", rejected_by).withColumn("kept", F.col("rejected_by").isNull()).drop(*table.columns)
 
 
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -358,6 +358,17 @@ def test_bounds():
     assert quality_rules.choose(many) == {"en": {r: g[0] for r, (_, g) in quality_rules.RULES.items()}}
 
 
+def test_every_language_gets_cutoffs(spark):
+    """70 languages, all with enough good documents: junk is rejected in each, and in none without labels."""
+    counted = "id AS doc_id, concat('l', id % 70) AS lang, 100 AS n_words, 500 AS word_chars, 0 AS n_symbols, 0 AS n_dup_lines, 0 AS n_repeat_words, 9 AS n_lines"
+    rows = quality_rules.with_statistics(spark.sql(f"SELECT {counted} FROM range(70000)"))
+    cutoffs = quality_rules.fit(rows, rows.selectExpr("doc_id", "1 AS quality"))
+    assert set(cutoffs) == {f"l{k}" for k in range(70)}
+    junk = quality_rules.with_statistics(spark.sql(f"SELECT {counted.replace('0 AS n_symbols', '400 AS n_symbols')} FROM range(70)"))
+    got = quality_rules.judge(junk.unionByName(junk.limit(1).withColumn("lang", F.lit("unlabelled"))), cutoffs).collect()
+    assert {(r.lang, r.rejected_by) for r in got} == {(f"l{k}", "symbol_share") for k in range(70)} | {("unlabelled", None)}
+
+
 # ---------------------------------------------------------------- empty tables, null ids
 
 
