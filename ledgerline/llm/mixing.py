@@ -6,6 +6,10 @@ source's slots are spread evenly over the mix and their number is within one of
 source's j-th slot takes its j-th block: the words ``j * block`` to ``(j + 1) * block`` of its
 documents in a shuffled order (by hash of the id), starting over after the last.
 
+A slot is a coarse measure for a small source, so one whose target is less than FEW slots takes the
+words of its target (rounded) and has slots only for the order; if no slot begins within its share, it
+stands in the slot around it.
+
 Everything is DataFrame operations.  A source's running total is made in two steps, over hash
 ranges and then within each, so that a source with a third of all documents is many groups.
 
@@ -26,6 +30,7 @@ SHARE = (3, 2)  # the mix holds 3/2 of all words
 MOST = 2  # times that a source, and so a document, is taken at most
 SLOT_BITS, RANGE_BITS = 16, 12
 SLOTS = 1 << SLOT_BITS
+FEW = 64
 
 
 def size_of(text: Column) -> Column:
@@ -63,16 +68,21 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source_key", "rank", "source_size", "weight", "mix", "target")
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """rank (of the source), block, slot: which block of which source each slot takes.
-
-    A source owns the points v / SLOTS with v in [first, end); the slot at point v is v with its bits reversed.
-    """
+def owned(sources: DataFrame) -> DataFrame:
+    """The sources with first and end: each owns the points v / SLOTS with v in [first, end)."""
     upto = F.sum("target").over(Window.orderBy("rank"))
     s = sources.withColumn("upto", upto).withColumn("share", F.when(F.col("mix") > 0, F.col("upto") / F.col("mix")).otherwise(F.lit(0.0)))
     s = s.withColumn("end", F.least(F.lit(SLOTS), F.ceil(F.round(F.col("share") * SLOTS, 6))).cast("long"))
-    s = s.withColumn("first", F.coalesce(F.lag("end").over(Window.orderBy("rank")), F.lit(0)))
-    slots = s.where("end > first").select("rank", F.explode(F.sequence("first", F.col("end") - 1)).alias("point"))
+    return s.withColumn("first", F.coalesce(F.lag("end").over(Window.orderBy("rank")), F.lit(0)))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """rank (of the source), block, slot: which block of which source each slot takes.  sources: with first and end.
+
+    The slot at point v is v with its bits reversed.  A source without points has its one block in the slot around it.
+    """
+    points = F.when(F.col("end") > F.col("first"), F.sequence("first", F.col("end") - 1)).otherwise(F.array(F.greatest(F.col("first") - 1, F.lit(0))))
+    slots = sources.where("target > 0").select("rank", F.explode(points).alias("point"))
     slots = slots.select("rank", F.conv(F.reverse(F.lpad(F.bin("point"), SLOT_BITS, "0")), 2, 10).cast("long").alias("slot"))
     return slots.withColumn("block", F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1)
 
@@ -86,11 +96,10 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = d.groupBy("_source", "_range").agg(F.sum("_size").alias("_total"))
     offset = F.sum("_total").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_total")
     ranges = totals.withColumn("_offset", offset)
-    sources = targets(totals.groupBy(F.col("_source").alias("source_key")).agg(F.sum("_total").alias("source_size")))
+    sources = owned(targets(totals.groupBy(F.col("_source").alias("source_key")).agg(F.sum("_total").alias("source_size"))))
     plan = schedule(sources)
-    slots = plan.groupBy("rank").agg(F.count("*").alias("slots"))
-    words = F.least(F.round(F.coalesce("slots", F.lit(0)) * F.col("mix") / SLOTS).cast("long"), F.col("source_size") * MOST)
-    figures = sources.join(slots, "rank", "left").withColumn("words", words)
+    goal = F.when(F.col("target") * SLOTS < F.col("mix") * FEW, F.col("target")).otherwise((F.col("end") - F.col("first")) * F.col("mix") / SLOTS)
+    figures = sources.withColumn("words", F.least(F.round(goal).cast("long"), F.col("source_size") * MOST))
     ranges = ranges.join(figures.withColumnRenamed("source_key", "_source"), "_source")
     within = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_size")
     d = d.withColumn("_before", F.sum("_size").over(within) - F.col("_size"))
@@ -108,7 +117,9 @@ def _taken() -> Column:
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the slot that takes the document's first word."""
     d, plan = placed(docs.select("doc_id", "source", "text"))
-    d = d.select("doc_id", "rank", "size", "source_size", "target", _taken().cast("long").alias("taken"), F.floor(F.col("start") * SLOTS / F.when(F.col("mix") > 0, F.col("mix"))).cast("long").alias("block"))
+    block = F.floor(F.col("start") * SLOTS / F.when(F.col("mix") > 0, F.col("mix"))).cast("long")
+    block = F.least(block, F.greatest(F.col("end") - F.col("first") - 1, F.lit(0)))  # small sources may hold more blocks than slots
+    d = d.select("doc_id", "rank", "size", "source_size", "target", _taken().cast("long").alias("taken"), block.alias("block"))
     d = d.join(plan, ["rank", "block"], "left")
     slot = F.when(F.col("taken") > 0, F.col("slot"))
     return d.select("doc_id", "size", "source_size", "target", "taken", slot.alias("first_slot"))

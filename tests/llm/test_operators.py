@@ -255,6 +255,17 @@ def test_mix(spark, docs, texts):
     assert taken == {i: r.taken for i, r in got.items() if r.taken}
 
 
+def test_mix_takes_small_sources(spark):
+    """Sources of less than a slot, and more sources than slots would hold, take their targets all the same."""
+    rows = [(k, "big " * 300_000, "big") for k in range(10)] + [(100 + k, "a few words " * (1 + k % 3), f"small{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert all(r.taken == round(r.target) > 0 and r.first_slot is not None for r in got if r.source != "big")
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r.size for r in got), rel=0.01)
+    taken = {r.doc_id: r.n for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()}
+    assert taken == {r.doc_id: r.taken for r in got if r.taken}
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (2, 0, "user", None), (3, 0, None, ""), (4, 0, "system", "s"), (None, 0, "user", "x"), (6, 0, "user", "q"), (6, 0, "user", "q"), (7, 0, "user", "q")]
     turns = spark.createDataFrame([(*r, 9, "z") for r in rows], "conv_id long, turn long, role string, text string, prompt int, chosen string")
