@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: \x20 and \x09-\x0D.  ``bytes.split()`` without
@@ -22,15 +22,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, which all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session that names none (a test on one
-    machine) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; only a session on one machine that names none (a
+    test) gets a temporary folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared_folder(df.sparkSession)
@@ -46,15 +55,29 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-#: Rows that are Python objects at a time.
-SLICE = 1024
+#: Rows, and bytes on average, that are Python objects at a time.
+SLICE, SLICE_BYTES = 1024, 4 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most SLICE, none empty."""
+    """The same rows in batches of at most SLICE rows, fewer if they are long, none empty."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+        step = max(1, min(SLICE, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_hash() -> Column:
+    """64 bits of the text, by which rows that share a doc_id are told apart; equal rows have equal hashes."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
