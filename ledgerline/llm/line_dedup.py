@@ -8,7 +8,8 @@
 3. Only suspected lines shuffle, as 128-bit digests: exact counts of documents, and the largest doc_id.
 
 Defined cases: null and empty text is one empty line; a row with null doc_id keeps its lines and
-counts for none; rows that share a doc_id are one document; lines shorter than MIN_CHARS never go.
+counts for none; rows that share a doc_id are one document when documents are counted, and each loses its own
+lines; lines shorter than MIN_CHARS never go.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_only
+from .common import as_bytes, cut, row_hash, slices, text_only, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of the filter for each document, its smallest and largest size, hashes a line, ranges it is dealt by.
@@ -50,7 +51,7 @@ def twice_seen(docs: DataFrame, bits: int) -> list[np.ndarray]:
 
     def build(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             found = [h for t in as_bytes(batch.column(1)) for h in _line_hashes(t)]
             if not found:
                 continue
@@ -94,14 +95,14 @@ def filter_bits(n_docs: int) -> int:
 
 
 def suspects(docs: DataFrame, bits: int) -> DataFrame:
-    """doc_id, key digest and line numbers of lines that the filter calls repeated."""
+    """doc_id, row, key digest and line numbers of lines that the filter calls repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(np.concatenate(twice_seen(docs, bits)))
 
     def run(batches):
-        for batch in batches:
-            seen = shared.value
-            ids, keys, numbers = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+        seen = shared.value
+        for batch in slices(batches):
+            ids, rows, keys, numbers = [], [], [], []
+            for doc_id, text, row in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 mine: dict[bytes, list[int]] = {}
                 for k, line in enumerate(text.split(b"\n")):
                     key = key_of(line)
@@ -112,49 +113,54 @@ def suspects(docs: DataFrame, bits: int) -> DataFrame:
                     hit = (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
                     for (key, where), yes in zip(mine.items(), hit):
                         if yes:
-                            ids.append(doc_id), keys.append(xxhash.xxh3_128_digest(key)), numbers.append(where)
+                            ids.append(doc_id), rows.append(row), keys.append(xxhash.xxh3_128_digest(key)), numbers.append(where)
             if ids:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "line_key": pa.array(keys, pa.binary()), "line_numbers": pa.array(numbers, pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "row": pa.array(rows, pa.int64()), "line_key": pa.array(keys, pa.binary()), "line_numbers": pa.array(numbers, pa.list_(pa.int32()))})
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, line_key binary, line_numbers array<int>")
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, row long, line_key binary, line_numbers array<int>")
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """doc_id and the numbers of the lines that it loses."""
-    docs = text_only(docs)
+    """doc_id, row and the numbers of the lines that the row loses."""
+    docs = text_only(docs).withColumn("row", row_hash())
     found = suspects(docs, filter_bits(docs.count()))
-    keys = (
+    # Written, so that both sides of the join are plain exchanges: Spark then splits the rows of a very common line.
+    keys = cut(
         found.groupBy("line_key", "doc_id").agg(F.lit(1).alias("one")).groupBy("line_key")
-        .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= MIN_DOCS)
+        .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= MIN_DOCS).select("line_key", "keeper")
     )
     lost = found.join(keys, "line_key").where("doc_id <> keeper")
-    return lost.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("line_numbers"))).alias("__lost"))
+    return lost.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("line_numbers"))).alias("lost"))
+
+
+def _with_lost(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows, each with the numbers of lines that it loses (null if none) in a column that docs doesn't have."""
+    lost, doc, row = (unused(docs, n) for n in ("__lost", "__lost_of", "__lost_row"))
+    found = drops(docs).select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("lost").alias(lost))
+    return rows.join(found, (F.col("doc_id").cast("long") == F.col(doc)) & (row_hash() == F.col(row)), "left"), F.col(lost)
 
 
-def _lines() -> F.Column:
+def _lines() -> Column:
     return F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
 
 
-def _kept() -> F.Column:
-    lines = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), F.col("__lost")), lambda k: F.get(_lines(), k)), "\n")
-    )
-    return F.coalesce(lines, F.lit(""))
+def _kept(lost: Column) -> Column:
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), lost), lambda k: F.get(_lines(), k))
+    return F.when(lost.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines; all columns stay."""
-    rows = docs.join(drops(docs).select(F.col("doc_id").alias("__lost_of"), "__lost"), F.col("doc_id").cast("long") == F.col("__lost_of"), "left")
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(_kept())
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows, lost = _with_lost(docs, docs)
+    return rows.withColumn("text", _kept(lost)).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, lines before, lines dropped, and the hash of what is kept."""
-    rows = text_only(docs).join(drops(docs), "doc_id", "left")
+    rows, lost = _with_lost(text_only(docs), docs)
     return rows.select(
-        "doc_id", F.size(_lines()).cast("long").alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(_kept().cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", F.size(_lines()).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce(_kept(lost), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
