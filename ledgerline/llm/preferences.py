@@ -56,10 +56,10 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_up(turns: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k+1 (rejected) as pair k."""
+    """Conversations 2k (chosen) and 2k+1 (rejected) as pair k; ids are 64-bit integers, negative ones included."""
     c = conversations(turns)
-    side = lambda k: F.max(F.when(F.pmod("conv_id", F.lit(2)) == k, F.col("turns")))
-    return c.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(side(0).alias("chosen"), side(1).alias("rejected"))
+    side = lambda k: F.max(F.when(F.col("conv_id").bitwiseAND(1) == k, F.col("turns")))
+    return c.groupBy(F.shiftright("conv_id", 1).alias("pair_id")).agg(side(0).alias("chosen"), side(1).alias("rejected"))
 
 
 def formatted(turns: DataFrame) -> DataFrame:
