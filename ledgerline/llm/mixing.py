@@ -1,21 +1,25 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is SLOTS slots of equally many words.  Slot ``i`` stands at the van der Corput point of
-``i`` (its bits reversed); points are mapped through the sources' cumulative targets, so a
-source's slots are spread evenly over the mix and their number is within one of its share.  A
-source's j-th slot takes its j-th block: the words ``j * block`` to ``(j + 1) * block`` of its
-documents in a shuffled order (by hash of the id), starting over after the last.
-
-A slot is a coarse measure for a small source, so one whose target is less than FEW slots takes the
-words of its target (rounded) and has slots only for the order; if no slot begins within its share, it
-stands in the slot around it.
+The mix is slots, each of which takes one block of one source.  Slot ``i`` stands at the van der Corput
+point of ``i`` (its bits reversed); points are mapped through the sources' cumulative targets, so a
+source's slots are spread evenly over the mix and their number is within one of its share.  A source
+without a point has the slot around its share.  The words that a source gives (its target, rounded) are
+dealt to its slots as equal blocks: with n slots and w words, the source's j-th slot takes the words
+``j * w / n`` to ``(j + 1) * w / n`` (rounded down) of its documents in a shuffled order (by hash of the id),
+starting over after the last.  So blocks are equal within one word for a source, and alike between sources but for
+those of less than a few slots, whose blocks are smaller.
+
+A document is cut into pieces, one for each block that holds some of its words, and pieces join the
+schedule by source and block: what is taken of a document is the sum of its pieces, ``scheduled`` is the pieces
+in their slots, and ``mix`` puts documents whole in the slot of their first piece.
 
 Everything is DataFrame operations.  A source's running total is made in two steps, over hash
-ranges and then within each, so that a source with a third of all documents is many groups.
+ranges and then within each, so that a source with a third of all documents is many groups.  The schedule is
+broadcast if it has at most MOST_SENT rows, which is known from the number of sources; else it is joined by sorting.
 
 Defined cases: null text has size 0 and is never taken; null source is a source of its own, the
-last; a null doc_id is shuffled like any other; repeated rows count each for themselves; if no
-document has a word, nothing is taken.
+last; a null doc_id is shuffled like any other; repeated rows count each for themselves; rows of
+one doc_id are in order of size and then of a hash of the text; if no document has a word, nothing is taken.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut, row_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the mix holds 3/2 of all words
 MOST = 2  # times that a source, and so a document, is taken at most
-SLOT_BITS, RANGE_BITS = 16, 12
+SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
-FEW = 64
+#: Ranges of a source at least, and documents in a range; rows of a schedule that is broadcast (20 bytes each).
+RANGE_BITS, RANGE_DOCS, MOST_SENT = 12, 1 << 14, 1 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -69,79 +74,119 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def owned(sources: DataFrame) -> DataFrame:
-    """The sources with first and end: each owns the points v / SLOTS with v in [first, end)."""
+    """The sources with first, end, n_slots and words: each owns the points v / SLOTS with v in [first, end)."""
     upto = F.sum("target").over(Window.orderBy("rank"))
     s = sources.withColumn("upto", upto).withColumn("share", F.when(F.col("mix") > 0, F.col("upto") / F.col("mix")).otherwise(F.lit(0.0)))
     s = s.withColumn("end", F.least(F.lit(SLOTS), F.ceil(F.round(F.col("share") * SLOTS, 6))).cast("long"))
-    return s.withColumn("first", F.coalesce(F.lag("end").over(Window.orderBy("rank")), F.lit(0)))
+    s = s.withColumn("first", F.coalesce(F.lag("end").over(Window.orderBy("rank")), F.lit(0)))
+    return s.withColumns({"n_slots": F.greatest(F.col("end") - F.col("first"), F.lit(1)).cast("long"), "words": F.round("target").cast("long")})
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """rank (of the source), block, slot: which block of which source each slot takes.  sources: with first and end.
+    """rank (of the source), block, slot: which block of which source each slot takes.  sources: as from ``owned``.
 
-    The slot at point v is v with its bits reversed.  A source without points has its one block in the slot around it.
+    The slot at point v is v with its bits reversed.
     """
     points = F.when(F.col("end") > F.col("first"), F.sequence("first", F.col("end") - 1)).otherwise(F.array(F.greatest(F.col("first") - 1, F.lit(0))))
-    slots = sources.where("target > 0").select("rank", F.explode(points).alias("point"))
+    slots = sources.where("words > 0").select("rank", F.explode(points).alias("point"))
     slots = slots.select("rank", F.conv(F.reverse(F.lpad(F.bin("point"), SLOT_BITS, "0")), 2, 10).cast("long").alias("slot"))
-    return slots.withColumn("block", F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1)
+    return slots.withColumn("block", (F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1).cast("long"))
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with ``rank``, ``size``, ``start`` (words before them in their source's
-    shuffled order) and their source's figures; and the schedule."""
-    d = docs.withColumn("_size", size_of(F.col("text").cast("string"))).withColumn("_key", order_key(F.col("doc_id")))
+    """The documents with ``size``, ``start`` (words before them in their source's shuffled order), ``range`` and ``nth``
+    (with rank a row's own key) and their source's figures; and the schedule."""
+    bits = min(32, max(RANGE_BITS, (docs.count() // RANGE_DOCS).bit_length()))
+    d = docs.withColumn("size", size_of(F.col("text").cast("string"))).withColumn("_key", order_key(F.col("doc_id"))).withColumn("_tie", row_hash())
     d = d.withColumn("_source", F.when(F.col("source").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("source").cast("string"))))
-    d = d.withColumn("_range", F.shiftright("_key", 32 - RANGE_BITS))
-    totals = d.groupBy("_source", "_range").agg(F.sum("_size").alias("_total"))
-    offset = F.sum("_total").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_total")
-    ranges = totals.withColumn("_offset", offset)
-    sources = owned(targets(totals.groupBy(F.col("_source").alias("source_key")).agg(F.sum("_total").alias("source_size"))))
+    d = d.withColumn("range", F.shiftright("_key", 32 - bits))
+    totals = d.groupBy("_source", "range").agg(F.sum("size").alias("_total"))
+    offset = F.sum("_total").over(Window.partitionBy("_source").orderBy("range")) - F.col("_total")
+    sources = cut(owned(targets(totals.groupBy(F.col("_source").alias("source_key")).agg(F.sum("_total").alias("source_size")))))
     plan = schedule(sources)
-    goal = F.when(F.col("target") * SLOTS < F.col("mix") * FEW, F.col("target")).otherwise((F.col("end") - F.col("first")) * F.col("mix") / SLOTS)
-    figures = sources.withColumn("words", F.least(F.round(goal).cast("long"), F.col("source_size") * MOST))
-    ranges = ranges.join(figures.withColumnRenamed("source_key", "_source"), "_source")
-    within = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "_size")
-    d = d.withColumn("_before", F.sum("_size").over(within) - F.col("_size"))
-    d = d.join(ranges, ["_source", "_range"])
-    return d.withColumn("start", F.col("_before") + F.col("_offset")).withColumnRenamed("_size", "size"), plan
+    if SLOTS + sources.count() <= MOST_SENT:
+        plan = F.broadcast(plan)
+    figures = sources.select(F.col("source_key").alias("_source"), "rank", "source_size", "target", "words", "n_slots")
+    ranges = totals.withColumn("_offset", offset).drop("_total").join(figures, "_source")
+    within = Window.partitionBy("_source", "range").orderBy("_key", "doc_id", "size", "_tie")
+    before = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    d = d.withColumn("_before", before).withColumn("nth", F.row_number().over(within)).join(ranges, ["_source", "range"])
+    return d.withColumn("start", F.col("_before") + F.col("_offset")).drop("_before", "_offset", "_key", "_tie", "_source"), plan
+
+
+def copies(d: DataFrame) -> DataFrame:
+    """A row for each time that some of a document is taken: copy, and lo and hi, its words in its source's endless stream.
+
+    A document of which nothing is taken has one copy, without words.
+    """
+    some = (F.col("size") > 0) & (F.col("start") < F.col("words"))
+    d = d.withColumn("copy", F.explode(F.when(some, F.sequence(F.lit(0), F.expr("(words - 1 - start) div greatest(source_size, 1)"))).otherwise(F.array(F.lit(0)).cast("array<bigint>"))))
+    d = d.withColumn("lo", F.col("start") + F.col("copy") * F.col("source_size"))
+    return d.withColumn("hi", F.greatest("lo", F.least(F.col("lo") + F.col("size"), F.col("words"))))
 
 
-def _taken() -> Column:
-    """Words of a document in the first ``words`` words of its source's endless stream."""
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("words") - rounds * F.col("source_size")
-    return rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+#: The blocks that hold the words lo and hi - 1: block j starts at word j * words div n_slots.
+_FIRST, _LAST = "((lo + 1) * n_slots - 1) div greatest(words, 1)", "(hi * n_slots - 1) div greatest(words, 1)"
+
+
+def pieces(d: DataFrame, plan: DataFrame) -> DataFrame:
+    """A row for each copy and block that holds words of it: block, slot, and a and z, its words there in the endless stream."""
+    d = copies(d)
+    none = F.array(F.expr("pmod(nth, n_slots)"))  # any block, so that rows without words don't meet in one
+    d = d.withColumn("block", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.expr(_FIRST), F.expr(_LAST))).otherwise(none)))
+    d = d.withColumns({"a": F.greatest(F.col("lo"), F.expr("(block * words) div n_slots")), "z": F.least(F.col("hi"), F.expr("((block + 1) * words) div n_slots"))})
+    return d.withColumn("z", F.greatest("a", "z")).join(plan, ["rank", "block"], "left")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the slot that takes the document's first word."""
     d, plan = placed(docs.select("doc_id", "source", "text"))
-    block = F.floor(F.col("start") * SLOTS / F.when(F.col("mix") > 0, F.col("mix"))).cast("long")
-    block = F.least(block, F.greatest(F.col("end") - F.col("first") - 1, F.lit(0)))  # small sources may hold more blocks than slots
-    d = d.select("doc_id", "rank", "size", "source_size", "target", _taken().cast("long").alias("taken"), block.alias("block"))
-    d = d.join(plan, ["rank", "block"], "left")
-    slot = F.when(F.col("taken") > 0, F.col("slot"))
-    return d.select("doc_id", "size", "source_size", "target", "taken", slot.alias("first_slot"))
+    p = pieces(d.drop("text", "source"), plan)
+    some = F.col("z") > F.col("a")
+    first = F.min_by(F.when(some, F.col("slot")), F.when(some, F.struct("copy", "block")))
+    taken = p.groupBy("rank", "range", "nth", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("z") - F.col("a")).alias("taken"), first.alias("first_slot"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+def _words(text: Column, skip: Column, n: Column) -> Column:
+    """n words of the text after the first ``skip``, with what stands before each."""
+    found = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    return F.array_join(F.slice(found, (skip + 1).cast("int"), n.cast("int")), "")
+
+
+def _in_order(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows by slot: each partition has a range of slots, which are about equally many words, and its rows in order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(parts, F.floor(F.col("slot") * parts / SLOTS).cast("int")).sortWithinPartitions("slot", "rank", "lo").select(*names)
+
+
+def scheduled(docs: DataFrame) -> DataFrame:
+    """slot, n_words and the documents' columns: a row for each slot and piece of a document, in order of slots.
+
+    The text is the piece's; a document that fits its block is whole.  Documents may have columns of these names.
+    """
+    d, plan = placed(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")))
+    p = pieces(d, plan).where("z > a")
+    n = F.col("z") - F.col("a")
+    text = F.when(n < F.col("size"), _words(F.col("text"), F.col("a") - F.col("lo"), n)).otherwise(F.col("text"))
+    p = _in_order(p.withColumn("text", text).withColumn("n_words", n), ["slot", "n_words", "text", "_row"])
+    return p.select("slot", "n_words", *[(F.col("text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the documents' columns: a row for each time that a document is taken.
+    """The mix itself, with the documents' columns: a row for each time that a document is taken, in order of slots.
 
-    Where a source's last block ends within a document, the last copy of that document ends there too.
+    A document stands whole in the slot of its first piece; where a source's last block ends within a document, the
+    last copy of that document ends there too.
     """
-    names = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")
-    d, _ = placed(docs.select("doc_id", "source", "text", names))
-    d = d.withColumn("_taken", _taken()).where("_taken > 0")
-    copies = F.ceil(F.col("_taken") / F.col("size")).cast("int")
-    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    n = F.least(F.col("size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n), "")
-    text = F.when(n < F.col("size"), cut).otherwise(F.col("text"))
-    return d.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
-
-
-#: The same in SQL: reversing bits and hashing are spelled alike, sums are exact, and the target is one product.
+    d, plan = placed(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")))
+    d = copies(d).where("hi > lo").withColumn("block", F.expr(_FIRST)).join(plan, ["rank", "block"])
+    n = F.col("hi") - F.col("lo")
+    d = _in_order(d.withColumn("text", F.when(n < F.col("size"), _words(F.col("text"), F.lit(0), n)).otherwise(F.col("text"))), ["text", "_row"])
+    return d.select(*[(F.col("text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: The same in SQL, from the definition: what is taken is the part of an endless stream that the first words cover.
 ORACLE_SQL = f"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -160,19 +205,19 @@ goals AS (
          least(most::DOUBLE, weight * (SELECT arg_min(level, (ratio, rank)) FROM levels WHERE level <= ratio)) AS target FROM levels),
 shares AS (
   SELECT *, least({SLOTS}, ceil(round(sum(target) OVER (ORDER BY rank) / mix * {SLOTS}, 6)))::BIGINT AS stop FROM goals),
-slots AS (SELECT *, stop - coalesce(lag(stop) OVER (ORDER BY rank), 0) AS n FROM shares),
-words AS (SELECT *, least(round(n * mix / {SLOTS})::BIGINT, 2 * source_size) AS words FROM slots),
+owned AS (SELECT *, coalesce(lag(stop) OVER (ORDER BY rank), 0) AS first, round(target)::BIGINT AS words FROM shares),
+slots AS (SELECT *, greatest(stop - first, 1) AS n FROM owned),
 points AS (
   SELECT rank, list_sum([((v >> b::INT) & 1) << ({SLOT_BITS - 1} - b::INT) for b in range({SLOT_BITS})])::BIGINT AS slot
-  FROM (SELECT rank, unnest(range(stop - n, stop)) AS v FROM slots)),
+  FROM (SELECT rank, unnest(CASE WHEN stop > first THEN range(first, stop) ELSE [greatest(first - 1, 0)] END) AS v FROM slots WHERE words > 0)),
 plan AS (SELECT rank, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block FROM points),
 placed AS (
-  SELECT doc_id, size, words.*, sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM docs JOIN words ON docs.source IS NOT DISTINCT FROM words.source),
+  SELECT doc_id, size, slots.*, sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM docs JOIN slots ON docs.source IS NOT DISTINCT FROM slots.source),
 took AS (
   SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END * size
     + greatest(0, least(size, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END - start)) AS taken,
-    CASE WHEN mix > 0 THEN floor(start * {SLOTS} / mix) END AS block FROM placed)
+    CASE WHEN words > 0 THEN ((start + 1) * n - 1) // words END AS block FROM placed)
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN slot END::BIGINT AS first_slot
 FROM took LEFT JOIN plan USING (rank, block)
 """
