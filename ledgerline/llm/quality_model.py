@@ -6,8 +6,9 @@ for a whole batch of documents.
 
 Defined cases: null and empty text has statistics of zero and gets a score like any other;
 documents without label are scored only; a doc_id labelled more than once counts with its least
-label; labels that are null are ignored; without any labelled row of both kinds every score is the
-share of label 1, or 0.5; repeated rows get equal scores; null doc_id is never in the held-out part.
+label; labels that are null are ignored; if all labels are one, every score is that label, and without labels
+0.5; repeated rows get equal scores and, like rows that share a doc_id, are one row (of least statistics) in the
+sample; null doc_id is never in the held-out part.
 """
 
 from __future__ import annotations
@@ -80,7 +81,8 @@ class Trees:
             for _ in range(int(np.log2(len(value)))):
                 node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
             total += value[node - len(feature)]
-        return 1 / (1 + np.exp(-total))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-total))
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Trees:
@@ -88,7 +90,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
     n, m = x.shape if len(x) else (0, len(FEATURES))
     inner, leaves = (1 << depth) - 1, 1 << depth
     share = y.mean() if n else 0.5
-    base = float(np.log(share / (1 - share))) if 0 < share < 1 else (-6.0 if n and share == 0 else 6.0 if n else 0.0)
+    base = float(np.log(share / (1 - share))) if 0 < share < 1 else (np.inf if share == 1 else -np.inf)
     if not n or share in (0, 1):
         return Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     borders = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(m)]
@@ -150,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     def make(batch):
         return {"doc_id": batch.column(0), "quality": batch.column(2), "x": pa.array([statistics(t) for t in as_bytes(batch.column(1))], pa.list_(pa.float64()))}
 
-    got = map_rows(rows.select("doc_id", "text", "quality"), make, "doc_id long, quality int, x array<double>").toPandas()
+    rows = map_rows(rows.select("doc_id", "text", "quality"), make, "doc_id long, quality int, x array<double>")
+    got = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     order = sorted(range(len(got)), key=lambda k: (got.doc_id[k], tuple(got.x[k])))
     x = np.array([got.x[k] for k in order], float).reshape(len(got), len(FEATURES))
     return fit(x, got.quality.to_numpy(float)[order])
