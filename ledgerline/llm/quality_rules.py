@@ -96,18 +96,34 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     })
 
 
+def _upper_tail(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function of x, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _upper_tail(b, a, 1 - x)
+    least = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), least)
+    whole = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or least)
+            c = 1 + step / c or least
+            whole *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return whole / a * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+
+
 def upper_bound(k: int, n: int, error: float) -> float:
     """The exact upper bound of a rate of which k in n were seen: where P(X <= k) falls to ``error``."""
     if k >= n:
         return 1.0
-    if n == 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
     lo, hi = k / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        below = sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)) if 0 < p < 1 else float(p == 0)
-        lo, hi = (p, hi) if below > error else (lo, p)
+        # P(X <= k) of a binomial is the incomplete beta function of 1 - p.
+        lo, hi = (p, hi) if _upper_tail(n - k, k + 1, 1 - p) > error else (lo, p)
     return hi
 
 
