@@ -3,10 +3,12 @@
 Frames are single-component 8-bit lossless JPEG (process 14, predictor 1): each is an intra
 frame, and each sample comes back exactly.  The Huffman table gives category ``s`` a code of
 ``9 - s`` bits, so that code and extra bits together always take nine bits a sample; numpy then
-decodes all frames of a file at once.  Files with other tables decode sample by sample.
+decodes all frames of a file at once.  Files with other tables decode sample by sample, and usual Motion-JPEG
+(baseline frames, ``jpeg``) by its luma.
 
 Defined cases: null and empty text is a payload of 64 zero bytes; null ids stay; equal texts give
-equal rows; a file that isn't AVI, or has no frames, yields no clips.
+equal rows; a file that isn't AVI, or has no frames, yields no clips; a file with a frame that is damaged or of
+another process (progressive, point transforms, lossless with restarts) yields one row without clip, and its error.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, map_rows, text_only
+from . import jpeg
+from .common import as_bytes, map_rows, slices, text_only
 
 WIDTH, HEIGHT, FPS = 64, 16, 25
 UNIT = 64
@@ -136,18 +139,18 @@ def read_index(data: bytes) -> tuple[float, list[tuple[int, int]]]:
     return per_frame, found
 
 
-def _head(jpeg: bytes) -> tuple[int, int, int, bytes, int, int]:
-    """Height, width, predictor, Huffman table, restart interval and where the coded data begin."""
+def _head(frame: bytes) -> tuple[int, int, int, bytes, int, int] | None:
+    """Height, width, predictor, Huffman table, restart interval and where the coded data begin; None for frames that aren't lossless."""
     at, height, width, table, restart = 2, 0, 0, b"", 0
-    while at + 4 <= len(jpeg):
-        mark, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + size]
+    while at + 4 <= len(frame):
+        mark, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + size]
         if mark == 0xC3:
             bits, height, width, parts = struct.unpack_from(">BHHB", body)
             if bits != 8 or parts != 1:
                 raise ValueError("only 8-bit single-component frames are read")
         elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise ValueError(f"JPEG process {mark:#x} is not lossless")
+            return None
         elif mark == 0xC4:
             table = body[1:]
         elif mark == 0xDD:
@@ -197,20 +200,37 @@ _MARKS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
 def decode_frames(data: bytes, frames: list[tuple[int, int]]) -> list[np.ndarray]:
-    """The samples of each frame."""
+    """The samples of each frame, of its luma if it has colours; ValueError if one can't be read."""
+    try:
+        return _decode(data, frames)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"damaged JPEG frame: {e!r}") from e
+
+
+#: Bytes of a head as written here; frames that begin with the same ones have the same head.
+HEAD = len(_jpeg_head(HEIGHT, WIDTH))
+
+
+def _decode(data: bytes, frames: list[tuple[int, int]]) -> list[np.ndarray]:
     heads: dict[bytes, tuple] = {}
     fast, out = [], [None] * len(frames)
     for k, (at, size) in enumerate(frames):
-        jpeg = data[at : at + size]
-        known = jpeg[:69]
-        if known not in heads:
-            heads.clear() if len(heads) > 64 else None
-            heads[known] = _head(jpeg)
-        height, width, predictor, table, restart, start = heads[known] if len(heads[known][3]) == len(HUFFMAN) else _head(jpeg)
-        end = jpeg.rfind(b"\xff\xd9")
-        coded = jpeg[start : end if end >= 0 else None]
+        frame = data[at : at + size]
+        known = frame[:HEAD]
+        head = heads.get(known)
+        if head is None:
+            head = _head(frame)
+            if head is None:
+                out[k] = jpeg.luma(frame)
+                continue
+            if head[5] <= HEAD:
+                heads.clear() if len(heads) > 64 else None
+                heads[known] = head
+        height, width, predictor, table, restart, start = head
+        end = frame.rfind(b"\xff\xd9")
+        coded = frame[start : end if end >= 0 else None]
         if restart:
-            raise ValueError("restart intervals are not read")
+            raise ValueError("lossless frames with restart intervals are not read")
         coded = coded.replace(b"\xff\x00", b"\xff")
         if table == HUFFMAN and predictor == 1 and width % 8 == 0 and len(coded) * 8 == height * width * 9:
             fast.append((k, height, width, coded))
@@ -262,16 +282,28 @@ def clips(data: bytes) -> Iterator[dict]:
 
 
 def clip_rows(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row for each shot of each file: the key and clip, first_frame, n_frames, start_s, end_s."""
+    """One row for each shot of each file: the key and clip, first_frame, n_frames, start_s, end_s, error.
+
+    error is null but for files that can't be read, which have one row and nothing else in it.
+    """
+    key_type = dict(df.dtypes)[key]
+    names = ("clip", "first_frame", "n_frames", "start_s", "end_s", "error")
 
     def run(batches):
-        for batch in batches:
-            rows = [{key: k} | c for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if data for c in clips(data)]
+        for batch in slices(batches):
+            keys, rows = [], []
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = list(clips(data or b""))
+                except ValueError as e:
+                    found = [{"error": str(e)}]
+                keys += [k] * len(found)
+                rows += found
             if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                columns = [pa.array([r.get(n) for r in rows], t) for n, t in zip(names, [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.string()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *columns], [key, *names])
 
-    schema = f"{key} {dict(df.dtypes)[key]}, clip long, first_frame long, n_frames long, start_s double, end_s double"
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.select(key, media).mapInArrow(run, f"`{key}` {key_type}, clip long, first_frame long, n_frames long, start_s double, end_s double, error string")
 
 
 def payload_of(text: bytes) -> bytes:
