@@ -185,10 +185,8 @@ def judge(rows: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
 def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and rejected_by of every document.
 
-    The labelled documents are measured first, then all of them: texts are never shuffled, only
-    the counts of labelled documents are.
+    Every text is measured once; the counts, a few numbers a document, are written, then tallied with labels and judged.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    cutoffs = fit(with_statistics(measure(docs).join(ids, "doc_id", "left_semi")), labels)
-    judged = judge(with_statistics(measure(docs)), cutoffs)
+    rows = cut(measure(docs))
+    judged = judge(with_statistics(rows), fit(with_statistics(rows), labels))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
