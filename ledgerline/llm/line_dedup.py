@@ -123,8 +123,9 @@ def suspects(docs: DataFrame, bits: int) -> DataFrame:
 def drops(docs: DataFrame) -> DataFrame:
     """doc_id, row and the numbers of the lines that the row loses."""
     docs = text_only(docs).withColumn("row", row_hash())
-    found = suspects(docs, filter_bits(docs.count()))
-    # Written, so that both sides of the join are plain exchanges: Spark then splits the rows of a very common line.
+    # Both are written: suspects so that lines are hashed once more and not twice, keys so that both sides of the
+    # join are plain exchanges, as Spark then splits the rows of a very common line.
+    found = cut(suspects(docs, filter_bits(docs.count())))
     keys = cut(
         found.groupBy("line_key", "doc_id").agg(F.lit(1).alias("one")).groupBy("line_key")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= MIN_DOCS).select("line_key", "keeper")
