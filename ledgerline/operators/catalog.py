@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import boroughs, held_out, parse_publisher, parse_year, text, trim
@@ -33,8 +33,7 @@ def new_rows(fresh: DataFrame, pos: str, *known: DataFrame, trimmed: bool = Fals
     """The first of fresh rows for each key that no known table has; rows without id are skipped."""
     have = reduce(DataFrame.unionByName, map(keys, known)).distinct()
     d = fresh.select("*", *key(fresh, trimmed)).where(trim(F.col("_id")) != "").join(have, ["_source", "_id"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("_source", "_id").orderBy(pos))
-    return d.withColumn("_n", first).where("_n = 1").drop("_n", "_source", "_id")
+    return d.groupBy("_source", "_id").agg(F.min_by(F.struct(*fresh.columns), pos).alias("_first")).select("_first.*")
 
 
 def filled(df: DataFrame, columns: list[str] = CATALOG) -> DataFrame:
@@ -55,8 +54,7 @@ def merge_pending(master: DataFrame, pending: DataFrame, pos: str) -> tuple[Data
 
 def index_by_id(df: DataFrame, pos: str, ident: str = "id") -> DataFrame:
     """One row for each id: the last."""
-    last = F.row_number().over(Window.partitionBy(ident).orderBy(F.desc(pos)))
-    return df.withColumn("_n", last).where("_n = 1").drop("_n")
+    return df.groupBy(F.col(ident).alias("_key")).agg(F.max_by(F.struct(*df.columns), pos).alias("_last")).select("_last.*")
 
 
 def enrich(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:

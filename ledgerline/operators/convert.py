@@ -249,3 +249,13 @@ def pseudo_gold(lines: DataFrame, line: str = "line", publisher: str = "trow", y
     """Lines with an empty record, for a model to fill."""
     known = lambda c, default: F.coalesce(blank(F.col(c)), F.lit(default)) if c in lines.columns else F.lit(default)
     return lines.select(*example(F.col(line), {"publisher": known("publisher", publisher), "alphabetical_range": F.lit(""), "directory_year": known("year", year)}, {}))
+
+
+def imported_record(v: Column) -> Column:
+    """A record from JSON (a VARIANT) whose fields may be missing, null or of another type: absent text is '', and
+    is_business is true for what isn't empty, zero, false or null."""
+    one = lambda f: F.try_variant_get(v, f"$.{f}", "string")
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.is_business", "variant")), F.lit("VOID"))
+    number = F.try_variant_get(v, "$.is_business", "double")
+    firm = F.when(kind == "VOID", F.lit(False)).when(kind == "BOOLEAN", one("is_business") == "true").when(kind == "STRING", one("is_business") != "").when(number.isNotNull(), number != 0).otherwise(F.lit(True))
+    return F.struct(*[(F.coalesce(firm, F.lit(False)) if f == "is_business" else text(one(f))).alias(f) for f in FIELDS])

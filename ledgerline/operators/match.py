@@ -8,46 +8,66 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text, tokens, trim
 
-#: Bytes of needles that are sent to all executors; more go through their tokens.
-SMALL = 32 << 20
+#: Needles, and bytes of them, that are sent to all executors and looked for one by one; more go through grams.
+FEW, SMALL = 256, 1 << 20
+#: Characters of a gram; shorter needles are grams of their own length.
+GRAM = 8
 
 
 def _small(needles: DataFrame, needle: str) -> bool:
-    """Whether the needles' text is small: a checked size, not a guess."""
-    return (needles.agg(F.sum(F.length(needle) + 16)).first()[0] or 0) <= SMALL
+    """Whether the needles are few and their text small: a checked size, not a guess."""
+    size = needles.agg(F.count("*").alias("n"), F.sum(F.octet_length(needle)).alias("bytes")).first()
+    return size.n <= FEW and (size.bytes or 0) <= SMALL
 
 
-def contained(rows: DataFrame, text_column: str, needles: DataFrame, needle: str, fold: bool = False) -> DataFrame:
-    """Pairs of rows and needles that occur in their text.
+def _grams(c: Column, size: Column) -> Column:
+    """Hashes of the distinct runs of ``size`` characters."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    starts = F.when(F.size(chars) >= size, F.sequence(F.lit(1), F.size(chars) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, size))))
 
-    Few needles are broadcast.  Many are joined by a token: each needle's longest word must occur in the text as
-    the part of a word, so the text's words' suffixes and prefixes are not needed when needles are whole words.
+
+def contained(rows: DataFrame, key: str, text_column: str, needles: DataFrame, needle: str, fold: bool = False) -> DataFrame:
+    """key and the needle's columns, once each, where the needle occurs in the text of a row of that key.
+
+    Few needles are broadcast.  Of many, each is looked for by its rarest gram, as counted in the texts: only hashes of
+    grams and keys are shuffled, and only candidates meet their texts again.  Blank needles occur nowhere.
     """
     hay, pin = text(F.col(text_column)), F.col(needle)
     if fold:
         hay, pin = F.lower(hay), F.lower(pin)
-    pins = needles.where(trim(F.col(needle)) != "")
+    rows, pins = rows.select(key, hay.alias("_hay")), needles.where(trim(F.col(needle)) != "").distinct().withColumn("_pin", pin)
     if _small(pins, needle):
-        return rows.join(F.broadcast(pins), F.contains(hay, pin))
-    # Grams of three characters: a needle is found through its rarest place in hash order, texts offer all.
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    pins = pins.withColumn("_gram", F.get(F.array_sort(F.transform(grams(pin), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), F.lit(0))["g"])
-    offered = rows.withColumn("_gram", F.explode(grams(hay)))
-    return offered.join(pins, "_gram").where(F.contains(hay, pin)).drop("_gram")
+        return rows.join(F.broadcast(pins), F.contains("_hay", F.col("_pin"))).select(key, *needles.columns).distinct()
+    size = F.least(F.length("_pin"), F.lit(GRAM))
+    lengths = [r[0] for r in pins.select(size).distinct().collect()]  # GRAM numbers at most
+    offered = rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("_hay"), F.lit(n)) for n in sorted(lengths)])))).alias("gram"))
+    held = pins.select("_pin").distinct().select("_pin", F.explode(_grams(F.col("_pin"), size)).alias("gram"))
+    hits = offered.join(held.select("gram").distinct(), "gram", "left_semi")
+    counted = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = held.join(counted, "gram").groupBy("_pin").agg(F.min(F.struct("n", "gram")).alias("least")).select("_pin", F.col("least.gram").alias("gram"))
+    found = hits.join(rarest, "gram").select(key, "_pin").distinct()
+    found = found.join(rows, key).where(F.contains("_hay", F.col("_pin"))).select(key, "_pin").distinct()
+    return found.join(pins, "_pin").select(key, *needles.columns)
 
 
 def longest_contained(rows: DataFrame, key: str, text_column: str, needles: DataFrame, needle: str, pos: str, fold: bool = False) -> DataFrame:
     """For each key the longest needle in its text; of equally long ones the first."""
-    pairs = contained(rows.select(key, text_column), text_column, needles.select(needle, pos), needle, fold)
+    pairs = contained(rows, key, text_column, needles.select(needle, pos), needle, fold)
     return pairs.groupBy(key).agg(F.max_by(needle, F.struct(F.length(needle), -F.col(pos))).alias(needle))
 
 
-def having_any(rows: DataFrame, key: str, text_column: str, needles: DataFrame, needle: str) -> DataFrame:
+def having_any(rows: DataFrame, key: str, text_column: str, needles: DataFrame, needle: str, fold: bool = False) -> DataFrame:
     """Rows whose text has one of the needles."""
-    pairs = contained(rows.select(key, text_column), text_column, needles.select(needle).distinct(), needle)
+    pairs = contained(rows, key, text_column, needles.select(needle), needle, fold)
     return rows.join(pairs.select(key).distinct(), key, "left_semi")
 
 
+def selected_folders(folders: DataFrame, key: str, hay: str, ids: DataFrame, use_worklist: bool = True) -> DataFrame:
+    """Folders in whose haystack one of the worklist's ids occurs, whatever the case; none if the worklist is empty."""
+    return having_any(folders, key, hay, ids, "id", fold=True) if use_worklist else folders
+
+
 def missing_from(rows: DataFrame, listing: DataFrame, on: str) -> DataFrame:
     """Rows whose path is not in the listing."""
     return rows.join(listing.select(on).distinct(), on, "left_anti")
@@ -67,12 +87,13 @@ def greedy_match(records: DataFrame, entries: DataFrame, group: str, pos: str, t
     likely = shared.groupBy(group, "record_pos", "entry_pos").agg((F.count("*") / (F.first("rn") + F.first("en") - F.count("*"))).alias("likeness")).where(F.col("likeness") >= least)
 
     def claim(page: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for record, options in page.sort_values(["record_pos", "likeness", "entry_pos"], ascending=[True, False, True]).groupby("record_pos", sort=True):
-            free = options[~options["entry_pos"].isin(taken)]
-            if len(free):
-                taken.add(free["entry_pos"].iloc[0])
-                out.append((page[group].iloc[0], record, free["entry_pos"].iloc[0], free["likeness"].iloc[0]))
+        taken, last, out = set(), None, []
+        page = page.sort_values(["record_pos", "likeness", "entry_pos"], ascending=[True, False, True])
+        for record, entry, likeness in zip(page["record_pos"], page["entry_pos"], page["likeness"]):
+            if record != last and entry not in taken:
+                taken.add(entry)
+                out.append((page[group].iloc[0], record, entry, likeness))
+                last = record
         return pd.DataFrame(out, columns=[group, "record_pos", "entry_pos", "likeness"])
 
     kinds = dict(likely.dtypes)
@@ -82,7 +103,7 @@ def greedy_match(records: DataFrame, entries: DataFrame, group: str, pos: str, t
 
 def listing_flags(volumes: DataFrame, listing: DataFrame, first: str = "0021", second: str = "0022") -> DataFrame:
     """For each volume the paths of its two sample pages and the number of its files."""
-    pairs = contained(listing.select("path"), "path", volumes.select("id").distinct(), "id")
+    pairs = contained(listing, "path", "path", volumes.select("id"), "id")
     page = lambda mark: F.max(F.when(F.contains("path", F.lit(mark)), F.col("path")))
     return volumes.join(pairs.groupBy("id").agg(F.count("*").alias("n_files"), page(first).alias("p1"), page(second).alias("p2")), "id", "left")
 

@@ -29,6 +29,15 @@ def after_gap(rows: DataFrame, group: str, index: Column, gap: int = GAP) -> Dat
     return d.where("_after or not _known").drop("_i", "_known", "_jump", "_after")
 
 
+def to_read(images: DataFrame, folder: str, index: Column, done: DataFrame, on: str, all_pages: bool = False, gap: int = GAP) -> DataFrame:
+    """Pages of each folder to be read: those after the front matter (all where none is found), without those that are done."""
+    chosen = images
+    if not all_pages:
+        listed = after_gap(images, folder, index, gap)
+        chosen = listed.unionByName(images.join(listed.select(folder).distinct(), folder, "left_anti"))
+    return chosen.join(done.select(on).distinct(), on, "left_anti")
+
+
 def column_of(left: Column, right: Column, width: Column, columns: Column) -> Column:
     """Which of a page's columns holds a box's middle."""
     middle = (left + right) / 2
@@ -51,23 +60,23 @@ def column_count(override: Column, catalog: Column) -> Column:
 
 
 def grey_deviation(content: Column) -> Column:
-    """The standard deviation of an image's grey values; null without an image library or for broken images."""
+    """status and the standard deviation of an image's grey values; status says why there is none: ``broken``, or ``no image library``."""
 
-    @F.pandas_udf("double")
-    def deviation(files: pd.Series) -> pd.Series:
+    @F.pandas_udf("status string, deviation double")
+    def deviation(files: pd.Series) -> pd.DataFrame:
         try:
             import numpy as np
             from PIL import Image
         except ImportError:
-            return pd.Series([None] * len(files), dtype="float64")
+            return pd.DataFrame({"status": ["no image library"] * len(files), "deviation": [None] * len(files)}).astype({"deviation": "float64"})
 
         def one(data):
             try:
-                return float(np.asarray(Image.open(io.BytesIO(data)).convert("L"), dtype="float64").std())
-            except Exception:
-                return None
+                return "ok", float(np.asarray(Image.open(io.BytesIO(data)).convert("L"), dtype="float64").std())
+            except (OSError, ValueError, SyntaxError, TypeError):
+                return "broken", None
 
-        return files.map(one).astype("float64")
+        return pd.DataFrame([one(x) for x in files], columns=["status", "deviation"]).astype({"deviation": "float64"})
 
     return deviation(content)
 

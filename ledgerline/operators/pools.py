@@ -71,10 +71,17 @@ def blended(curated: DataFrame, harvested: DataFrame, share: float = 0.35) -> Da
 
 
 def cumulative(pool: DataFrame) -> DataFrame:
-    """term, lo, hi: the part of [0, 1) that draws the term; a pool is a small table in order of its terms."""
-    w = Window.orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hi, total = F.sum("weight").over(w), F.sum("weight").over(Window.partitionBy())
-    return pool.select("term", ((hi - F.col("weight")) / total).alias("lo"), (hi / total).alias("hi"))
+    """term, lo, hi: the part of [0, 1) that draws the term, in order of terms.
+
+    Weights are summed by the terms' first characters, then within those, so no task gets the whole pool.
+    """
+    d = pool.withColumn("_head", F.substring("term", 1, 2))
+    heads = d.groupBy("_head").agg(F.sum("weight").alias("_sum"))
+    upto = F.sum("_sum").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    heads = heads.withColumn("_offset", upto - F.col("_sum")).withColumn("_total", F.sum("_sum").over(Window.partitionBy()))
+    inside = F.sum("weight").over(Window.partitionBy("_head").orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hi = F.col("_offset") + inside
+    return d.join(heads, "_head").select("term", ((hi - F.col("weight")) / F.col("_total")).alias("lo"), (hi / F.col("_total")).alias("hi"))
 
 
 def draw(rows: DataFrame, u: Column, pool: DataFrame, name: str, buckets: int = 4096) -> DataFrame:

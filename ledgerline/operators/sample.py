@@ -16,27 +16,37 @@ def stratum(columns: list[str]) -> Column:
     return F.concat_ws(" · ", *[F.concat(F.lit(f"{c}="), one(c)) for c in columns])
 
 
-def spread(rn: Column, n: Column, per: int) -> Column:
-    """Whether the rn-th of n members is one of ``per`` evenly spread ones (half-even rounding)."""
+def picks(n: Column, per: int) -> Column:
+    """The ranks of ``per`` evenly spread ones of n members (half-even rounding), in order, each once."""
     if per == 1:
-        return rn - 1 == F.floor(n / 2)
-    picks = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.bround(i * (n - 1) / F.lit(per - 1)).cast("int"))
-    return (n <= per) | F.array_contains(picks, (rn - 1).cast("int"))
+        return F.array(F.floor(n / 2).cast("long") + 1)
+    even = F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: F.bround(i * (n - 1) / F.lit(per - 1)).cast("long") + 1)
+    return F.when(n <= per, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array_distinct(even))
+
+
+def spread(rn: Column, n: Column, per: int) -> Column:
+    """Whether the rn-th of n members is one of ``per`` evenly spread ones."""
+    return F.array_contains(picks(n, per), rn.cast("long"))
 
 
-def select(rows: DataFrame, strata: Column, order: list, per: int, cap: int | None = None) -> DataFrame:
+def select(rows: DataFrame, strata: Column, order: list[str], per: int, cap: int | None = None) -> DataFrame:
     """``per`` members of each stratum; with a cap, strata take turns, the largest first.
 
-    Windows are by stratum; ranks of strata come from their counts, a small table.
+    order: names of columns.  Members are counted by the first of them, so the counts tell which of its values hold a
+    pick; only rows of those are ranked, by the other columns.  Ranks of strata come from their counts, a small table.
     """
-    d = rows.withColumn("stratum", strata)
+    d, first = rows.withColumn("stratum", strata), order[0]
+    groups = d.groupBy("stratum", F.col(first).alias("_at")).agg(F.count("*").alias("_many"))
     w = Window.partitionBy("stratum")
-    d = d.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    d = d.where(spread(F.col("_rn"), F.col("_n"), per))
+    groups = groups.withColumn("_before", F.sum("_many").over(w.orderBy("_at")) - F.col("_many")).withColumn("_n", F.sum("_many").over(w))
+    groups = groups.withColumn("_picks", F.filter(picks(F.col("_n"), per), lambda k: (k > F.col("_before")) & (k <= F.col("_before") + F.col("_many")))).where(F.size("_picks") > 0)
+    near = d.join(groups.withColumnRenamed("stratum", "_stratum"), (F.col("stratum") == F.col("_stratum")) & F.col(first).eqNullSafe(F.col("_at")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("stratum", "_at").orderBy(*(order[1:] or [first])))
+    d = near.withColumn("_rn", rank).where(F.array_contains("_picks", F.col("_rn")))
     if cap is not None:
         ranks = d.groupBy("stratum").agg(F.max("_n").alias("_size")).withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_size"), "stratum"))).drop("_size")
-        d = d.withColumn("_round", F.row_number().over(w.orderBy("_rn"))).join(ranks, "stratum").orderBy("_round", "_rank").limit(cap).drop("_round", "_rank")
-    return d.drop("_rn", "_n")
+        d = d.withColumn("_round", F.row_number().over(w.orderBy("_rn"))).join(ranks, "stratum").orderBy("_round", "_rank").limit(cap)
+    return d.select(*rows.columns, "stratum")
 
 
 def depth(picked: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -58,5 +68,11 @@ def first_shuffled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFra
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
-def by_year(pos: str) -> list:
-    return [year_number(F.col("year")), pos]
+def by_year(rows: DataFrame) -> DataFrame:
+    """The rows with ``year_number``, by which volumes are ordered before their place."""
+    return rows.withColumn("year_number", year_number(F.col("year")))
+
+
+def final_order(rows: DataFrame) -> DataFrame:
+    """Picked volumes by publisher (those without last), then year."""
+    return rows.orderBy(F.coalesce(F.nullif(F.lower(trim(text(F.col("publisher")))), F.lit("")), F.lit("~")), "year")

@@ -87,8 +87,8 @@ def check_lines(lines: DataFrame, file: str = "file", line: str = "line", value:
 
 
 def duplicates(rows: DataFrame, group: Column, line: Column, pos: str) -> DataFrame:
-    """The second and later rows of the same group and squeezed line."""
-    w = Window.partitionBy(group, squeeze(line)).orderBy(pos)
+    """The second and later rows of the same group and squeezed line; lines meet by a hash of 128 bits."""
+    w = Window.partitionBy(group, F.md5(squeeze(line).cast("binary"))).orderBy(pos)
     return rows.withColumn("nth", F.row_number().over(w)).where("nth > 1")
 
 

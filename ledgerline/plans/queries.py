@@ -13,6 +13,7 @@ from ..functions import codecs, text
 from ..operators import catalog, convert, estimate, match, pages, pools, report, sample, score, synth, validate
 from ..schema import CATALOG, FIELDS
 from ..sources import readers
+from . import files, records
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -190,12 +191,6 @@ def interval_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return convert.owned_text(c, "conv_id", "turn", "text", "owner")
 
 
-def jaccard_match(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as records, assistant turns as entries of the same conversation."""
-    c = read(spark, d, "conversations")
-    return match.greedy_match(c.where("role = 'user'"), c.where("role = 'assistant'"), "conv_id", "turn", "text", 0.05).withColumn("likeness", F.round("likeness", 6))
-
-
 # ---------------------------------------------------------------- windows
 
 
@@ -305,16 +300,6 @@ def line_quality_gate(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- generator and estimates
 
 
-def synth_rows(spark: SparkSession, d: str) -> DataFrame:
-    """As many examples as there are customers."""
-    rows = synth.generate(spark, read(spark, d, "customer").count())
-    return rows.select("row_id", "profile", "raw_line", F.col("context.directory_year").alias("directory_year"), codecs.to_pipe(F.col("record")).alias("pipe"))
-
-
-def synth_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return synth.statistics(synth.generate(spark, read(spark, d, "customer").count()))
-
-
 def synth_draws(spark: SparkSession, d: str) -> DataFrame:
     r = synth.Draws(7, F.col("c_custkey"))
     return read(spark, d, "customer").select("c_custkey", r.u("a").alias("u"), r.integer("b", 1, 900).alias("house"), text.ordinal(r.integer("c", 1, 155)).alias("street"), r.weighted("d", synth.PREFIXES).alias("prefix"))
@@ -329,10 +314,10 @@ def run_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     score_fields, score_overall, results_pivot_last_wins, panel_weighted_mean, codec_pipe, codec_yaml, prompt_build, response_parse, first_record, url_dispatch, tag_extract,
-    corrupt_json_tally, anti_dedup, merge_pending, enrichment, year_parse, recase, containment_longest, containment_any, interval_rebuild, jaccard_match, carry_forward, gap_split,
+    corrupt_json_tally, anti_dedup, merge_pending, enrichment, year_parse, recase, containment_longest, containment_any, interval_rebuild, carry_forward, gap_split,
     stratified_spread, roundrobin_cap, depth_class, duplicate_flags, column_order, page_gate, term_pool_merge, tempered_pool, weighted_draw, occupation_pool, validate_findings,
-    fill_rates, line_quality_gate, synth_rows, synth_statistics, synth_draws, run_estimate,
-)}
+    fill_rates, line_quality_gate, synth_draws, run_estimate,
+)} | records.QUERIES | files.QUERIES
 
 _SQUEEZED = r"trim(regexp_replace(text, '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{1680}]+', ' ', 'g'))"
 _U = "('0x' || substr(md5('{seed}:' || {row}::VARCHAR || ':{name}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
@@ -457,4 +442,4 @@ ORACLE_SQL = {
         v AS (SELECT *, 21.1::DOUBLE * f / ((12 * h * h * k + 2 * h * 248320) / (12 * 1024::BIGINT * 1024 * 24 + 2 * 1024 * 248320)) * 1.2::DOUBLE * CASE WHEN batch < 64 THEN pow(batch / 64, 0.25::DOUBLE) ELSE 1 END AS sps FROM c),
         w AS (SELECT *, (r_regionkey + 1) * 100000 * 3 / sps / 3600 AS hours FROM v)
       SELECT size, gpu, r_regionkey, batch::INT AS batch, round(vram, 4) AS vram, round(sps, 4) AS sps, round(hours, 4) AS hours, round(hours * r, 4) AS cost, greatest(1, ceil(floor(hours) / 24))::BIGINT AS jobs FROM w""",
-}
+} | records.ORACLE_SQL | files.ORACLE_SQL

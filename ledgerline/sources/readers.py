@@ -6,7 +6,7 @@ import csv
 import io
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import parse_pipe, parse_yaml
@@ -61,19 +61,42 @@ def tagged_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TAGGED_ENTRY).option("multiLine", True).json(path)
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, pos and line of text files, read in splits; line ends are \\n, \\r\\n or \\r.
+
+    Splits of a file are in order of where they begin, and lines of a split in the order in which they are read; so a
+    line's place is the number of lines of the splits before, a small table, and its number within its split.
+    """
+    d = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_read"), F.col("value").alias("line"))
+    splits = d.groupBy("file", "_split").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")
+    within = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_read")) - 1
+    d = d.withColumn("_within", within).join(splits.withColumn("_before", before), ["file", "_split"])
+    return d.select("file", (F.col("_before") + F.col("_within")).cast("int").alias("pos"), "line")
+
+
+def _in_files(parts: DataFrame) -> DataFrame:
+    """parts (file, pos, block) with row_id: their number over all files in order of path."""
+    counts = parts.groupBy("file").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("file")) - F.col("_n")  # a row for each file
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1
+    return parts.withColumn("_rank", rank).join(counts.withColumn("_before", before), "file").select((F.col("_before") + F.col("_rank")).cast("long").alias("row_id"), "block")
+
+
 def predictions(spark: SparkSession, path: str, target: str = "yaml", keep_blank: bool = False) -> DataFrame:
-    """row_id and the parsed record of each line or block.
+    """row_id and the parsed record of each line or block of a file, or of a folder's files in order of their names.
 
-    Blank blocks are dropped and later ones move up, unless keep_blank; that keeps rows in their places.
+    Blank blocks are dropped and later ones move up, unless keep_blank; that keeps rows in their places.  Blocks are
+    read a file at a time, as what separates them may have any number of blank lines.
     """
-    whole = spark.read.text(path, wholetext=True)
     if target == "pipe":
-        parts, parse = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"), parse_pipe
+        parts, parse = numbered_lines(spark, path).withColumnRenamed("line", "block"), parse_pipe
     else:
-        parts, parse = F.split("value", "\n\n" if keep_blank else r"\n\s*\n"), parse_yaml
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        parts, parse = whole.select("file", F.posexplode(F.split("value", "\n\n" if keep_blank else r"\n\s*\n")).alias("pos", "block")), parse_yaml
     if not keep_blank:
-        parts = F.filter(parts, lambda x: trim(x) != "")
-    return whole.select(F.posexplode(parts).alias("row_id", "block")).select(F.col("row_id").cast("long").alias("row_id"), parse(F.col("block")).alias("r")).select("row_id", "r.*")
+        parts = parts.where(trim(F.col("block")) != "")
+    return _in_files(parts).select("row_id", parse(F.col("block")).alias("r")).select("row_id", "r.*")
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +135,8 @@ def pool(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return d if strict else d.where("count is not null and term is not null")
 
 
-def csv_in_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """A table inside a zip archive: one file, unpacked by the one task that reads it."""
+def csv_in_zip(spark: SparkSession, path: str, member: str, columns: list[str]) -> DataFrame:
+    """The named columns of a table inside a zip archive; the one task that reads it finds them in its header."""
 
     def unpack(frames):
         import pandas as pd
@@ -121,19 +144,20 @@ def csv_in_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
         for frame in frames:
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)).open(member) as f:
-                    yield pd.DataFrame({"row": [list(r) for r in csv.reader(io.TextIOWrapper(f, "utf-8"))]})
+                    rows = csv.reader(io.TextIOWrapper(f, "utf-8"))
+                    head = next(rows, [])
+                    at = [head.index(c) if c in head else None for c in columns]
+                    while part := [r for _, r in zip(range(10_000), rows)]:
+                        yield pd.DataFrame([[r[k] if k is not None and k < len(r) else None for k in at] for r in part], columns=columns, dtype=object)
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "row array<string>")
-    head = rows.first()[0]
-    return rows.where(F.col("row") != F.array(*map(F.lit, head))).select(*[F.get("row", F.lit(k)).alias(c) for k, c in enumerate(head)])
+    rows = spark.read.format("binaryFile").load(path).select("content")
+    return rows.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], exclude: str = "template") -> DataFrame:
-    """file, pos, line of text files; an empty last line is none."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parts = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")
+    """file, pos, line of text files, but for those with a certain word in their name."""
     name = F.lower(F.element_at(F.split("file", "/"), -1))
-    return whole.where(~F.contains(name, F.lit(exclude)) & (F.col("value") != "")).select("file", F.posexplode(parts).alias("pos", "line"))
+    return numbered_lines(spark, paths).where(~F.contains(name, F.lit(exclude)))
 
 
 def ocr_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -148,8 +172,12 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
 
 
+#: Images that were made from a page's own.
+DERIVED = r"(_viz|_left|_right)\.jpg$"
+
+
 def page_images(spark: SparkSession, path: str) -> DataFrame:
-    return listing(spark, path, "*.jpg").where(~F.col("path").rlike(r"(_viz|_left|_right)\.jpg$"))
+    return listing(spark, path, "*.jpg").where(~F.col("path").rlike(DERIVED))
 
 
 def pick_entries(files: DataFrame, path: str = "path") -> DataFrame:

@@ -19,8 +19,11 @@ def examples(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_rows(df: DataFrame, path: str, columns: list[str] = CATALOG) -> None:
-    """Each part has the header."""
-    filled(df, columns).write.mode("append").option("header", True).option("emptyValue", "").csv(path)
+    """Rows at the end of a table: a folder of parts, each with the header, so that any of them is a table by itself.
+
+    Missing columns are empty; a folder that isn't there is made.
+    """
+    filled(df, columns).write.mode("append").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def with_column_after(df: DataFrame, column: str, after: str) -> DataFrame:
@@ -31,18 +34,18 @@ def with_column_after(df: DataFrame, column: str, after: str) -> DataFrame:
 
 
 def pool(old: DataFrame, new: DataFrame, path: str) -> None:
-    """Added counts, the largest first, terms between tabs."""
-    merge(old, new).orderBy(F.desc("count"), "term").coalesce(1).write.mode("errorifexists").option("sep", "\t").option("quote", "").csv(path)
+    """Added counts, the largest first, terms between tabs; parts are in order of their names."""
+    merge(old, new).orderBy(F.desc("count"), "term").write.mode("errorifexists").option("sep", "\t").option("quote", "").csv(path)
 
 
 def predictions(df: DataFrame, path: str, target: str = "yaml") -> None:
     """Predicted records in the order of row_id: lines, or blocks between empty lines.
 
-    A prediction file is one file by its format, so it is written by one task.
+    Parts are in order of their names; put end to end they are the prediction file.
     """
     record = F.struct(*[c for c in df.columns if c != "row_id"])
     value = to_pipe(record) if target == "pipe" else to_yaml(record)
-    df.select("row_id", value.alias("value")).orderBy("row_id").select("value").coalesce(1).write.text(path, lineSep="\n" if target == "pipe" else "\n\n")
+    df.select("row_id", value.alias("value")).orderBy("row_id").select("value").write.text(path, lineSep="\n" if target == "pipe" else "\n\n")
 
 
 def run_log(row: DataFrame, path: str) -> None:
@@ -50,14 +53,14 @@ def run_log(row: DataFrame, path: str) -> None:
 
 
 def lines(df: DataFrame, order: str, value: str, path: str) -> None:
-    """Rendered text (tables, worklists) in order."""
-    df.orderBy(order).select(F.col(value).alias("value")).coalesce(1).write.text(path)
+    """Rendered text (tables, worklists) in order, also of the parts' names."""
+    df.orderBy(order).select(F.col(value).alias("value")).write.text(path)
 
 
-def worklist(df: DataFrame) -> DataFrame:
-    """One Markdown line for each selected volume."""
+def worklist(df: DataFrame, *more: str) -> DataFrame:
+    """One Markdown line for each selected volume, beside its id and the named columns."""
     cell = lambda c: F.regexp_replace(text(F.col(c)), r"\|", "/")
-    return df.select("id", F.concat(F.lit("| "), F.concat_ws(" | ", cell("publisher"), cell("year"), cell("id"), cell("title")), F.lit(" |")).alias("line"))
+    return df.select("id", *more, F.concat(F.lit("| "), F.concat_ws(" | ", cell("publisher"), cell("year"), cell("id"), cell("title")), F.lit(" |")).alias("line"))
 
 
 def page_ocr(df: DataFrame) -> DataFrame:
