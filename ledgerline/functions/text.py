@@ -71,6 +71,7 @@ def safe_double(column: Column) -> Column:
 
 # ---------------------------------------------------------------- years, publishers, titles
 
+# What counts as a year.
 _YEAR = r"(1[789]\d{2}|20\d{2})"
 # Known publishers, most specific first.
 PUBLISHERS = ["Longworth", "Doggett", "Trow", "Lain", "Polk", "Sampson", "Boyd", "Wilson", "Goulding", "Franks", "Kollock", "Hodge", "Duncan", "Greenleaf"]
@@ -114,6 +115,7 @@ def held_out(publisher: Column, year: Column) -> Column:
     return F.when(hit, F.lit(REVIEW)).otherwise(F.lit(""))
 
 
+# Identifiers of collections.
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
@@ -201,6 +203,7 @@ def xywh(fragment: Column) -> Column:
     return F.nullif(F.regexp_extract(text(fragment), r"#xywh=([\d.,]+)", 1), F.lit(""))
 
 
+# Names of sample folders.
 _DIR = r"nypl_([a-z]+)(?:_[a-z]+)*_(1[6789]\d\d)(?:_(\d\d))?_[0-9a-f]{8}$"
 
 
@@ -217,14 +220,18 @@ def parse_dir(name: Column) -> Column:
 STREET_WORDS = r"(?iU)\b(st|street|av|ave|avenue|lane|pl|place|road|rd|sq|square|row|slip|alley|wharf|dock|market|cor|corner)\b"
 
 
+# Numbers of pages, in either numerals; lines of an OCR reading that are a number.
+PAGE_NUMBER, LINE_NUMBER = r"^[\dIVXLC.\s-]+$", r"^\W*\d{1,4}\W*$"
+
+
 def is_noise(line: Column) -> Column:
     """A page's headings and numbers rather than an entry."""
-    return (F.length(line) < 6) | ~rx(line, r"\p{Ll}") | rx(line, r"^[\dIVXLC.\s-]+$")
+    return (F.length(line) < 6) | ~rx(line, r"\p{Ll}") | rx(line, PAGE_NUMBER)
 
 
 def is_ocr_junk(line: Column) -> Column:
     ascii_share = F.try_divide(F.length(F.regexp_replace(line, r"[^\x00-\x7F]", "")), F.length(line))
-    return (F.length(line) < 8) | rx(line, r"^\W*\d{1,4}\W*$") | ~rx(line, "[a-z]") | (F.coalesce(ascii_share, F.lit(0.0)) < 0.85)
+    return (F.length(line) < 8) | rx(line, LINE_NUMBER) | ~rx(line, "[a-z]") | (F.coalesce(ascii_share, F.lit(0.0)) < 0.85)
 
 
 def clean_occupation(column: Column) -> Column:

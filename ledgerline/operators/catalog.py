@@ -140,6 +140,7 @@ def picker(rows: DataFrame, pos: str, n: int) -> DataFrame:
     return rows.where(open_).orderBy(pos).limit(n)
 
 
+# Notes that take a volume out.
 EXCLUDED = r"(?i)phonebook|\bbiz\b|eval|holdout|held[- ]out|keep out"
 
 

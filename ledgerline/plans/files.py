@@ -81,7 +81,7 @@ def catalog_keys(spark: SparkSession, d: str) -> DataFrame:
     return keys.join(listed, "_id", "left").select(F.col("_source").alias("source"), F.col("_id").alias("id"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-@query("SELECT lower(n_name) || ' ' || n_regionkey AS term, (n_nationkey + 1) * CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS count FROM nation")
+@query("SELECT lower(n_name) || ' ' || n_regionkey AS term, ((n_nationkey + 1) * CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS count FROM nation")
 def pool_files(spark: SparkSession, d: str) -> DataFrame:
     """A pool merged, written and read; a broken line in it is left out."""
     base, n = folder(spark), spark.read.parquet(f"{d}/nation.parquet")

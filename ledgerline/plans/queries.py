@@ -268,9 +268,9 @@ def weighted_draw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def occupation_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of documents' sentences as predicted occupations."""
+    """Documents' sentences as predicted occupations: of those over several lines the first line, as a block has it; most are too long to be kept."""
     docs = read(spark, d, "documents").select(F.explode(F.split("text", r"\. ")).alias("s"))
-    block = F.concat(F.lit("name: x\noccupation_role: \""), F.substring_index("s", " ", 2), F.lit("\""))
+    block = F.concat(F.lit("name: x\noccupation_role: \""), "s", F.lit("\""))
     return pools.occupations(docs.select(block.alias("block")), "block")
 
 
@@ -294,7 +294,7 @@ def fill_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def line_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    return c.select("conv_id", "turn", text.is_ocr_junk(F.col("text")).alias("junk"), text.clean_occupation(F.substring_index("text", " ", 3)).alias("occupation"))
+    return c.select("conv_id", "turn", text.is_ocr_junk(F.col("text")).alias("junk"), text.clean_occupation(F.col("text")).alias("occupation"))
 
 
 # ---------------------------------------------------------------- generator and estimates
@@ -412,9 +412,7 @@ ORACLE_SQL = {
         u AS (SELECT c_custkey, {_u(5, 'c_custkey', 'nation')} AS u FROM customer)
       SELECT c_custkey, n_name AS nation FROM u JOIN p ON u >= (hi - w)::DOUBLE / t AND u < hi::DOUBLE / t""",
     "occupation_pool": r"""WITH s AS (SELECT unnest(string_split(text, '. ')) AS s FROM documents),
-        w AS (SELECT array_to_string(string_split(s, ' ')[1:2], ' ') AS w FROM s),
-        b AS (SELECT trim(string_split(w, chr(10))[1], '"') AS v, contains(w, chr(10)) AS cut, w FROM w),
-        c AS (SELECT regexp_replace(trim(trim(trim(regexp_extract('"' || w || '"', '^(?m:(.*)$)', 1), '"'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ',;'), '\s+', ' ', 'g') AS o FROM w)
+        c AS (SELECT regexp_replace(trim(trim(trim(regexp_extract('"' || s || '"', '^(?m:(.*)$)', 1), '"'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ',;'), '\s+', ' ', 'g') AS o FROM s)
       SELECT o AS term, count(*) AS count FROM c WHERE o <> '' AND length(o) <= 42 AND NOT contains(o, ':') AND NOT regexp_matches(o, '\d')
         AND NOT (regexp_matches(o, '(?i)(^|[^\p{L}\p{N}_])(st|street|av|ave|avenue|lane|pl|place|road|rd|sq|square|row|slip|alley|wharf|dock|market|cor|corner)($|[^\p{L}\p{N}_])') AND NOT contains(lower(o), 'house') AND NOT contains(lower(o), 'store'))
         AND lower(o) NOT IN ('do', 'do.', 'none', 'n/a', 'the', 'and') AND regexp_matches(o, '[a-z]') GROUP BY o""",
@@ -430,7 +428,7 @@ ORACLE_SQL = {
     "fill_rates": """WITH d AS (SELECT text, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
       SELECT 'text' AS field, count_if(trim(text) <> '')::BIGINT AS filled, count(*) AS n FROM d UNION ALL SELECT 'lang', count_if(lang <> '')::BIGINT, count(*) FROM d
       UNION ALL SELECT 'source', count_if(source <> '')::BIGINT, count(*) FROM d UNION ALL SELECT 'quality', count(quality), count(*) FROM d UNION ALL SELECT 'toxic', count_if(toxic = 1)::BIGINT, count(*) FROM d""",
-    "line_quality_gate": r"""WITH c AS (SELECT conv_id, turn, text, regexp_replace(trim(trim(array_to_string(string_split(text, ' ')[1:3], ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ',;'), '\s+', ' ', 'g') AS o FROM conversations)
+    "line_quality_gate": r"""WITH c AS (SELECT conv_id, turn, text, regexp_replace(trim(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), ',;'), '\s+', ' ', 'g') AS o FROM conversations)
       SELECT conv_id, turn, length(text) < 8 OR regexp_matches(text, '^\W*\d{1,4}\W*$') OR NOT regexp_matches(text, '[a-z]') OR length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text) < 0.85 AS junk,
         CASE WHEN o = '' OR length(o) > 42 OR contains(o, ':') OR regexp_matches(o, '\d') OR lower(o) IN ('do', 'do.', 'none', 'n/a', 'the', 'and') OR NOT regexp_matches(o, '[a-z]')
           OR (regexp_matches(o, '(?i)(^|[^\p{L}\p{N}_])(st|street|av|ave|avenue|lane|pl|place|road|rd|sq|square|row|slip|alley|wharf|dock|market|cor|corner)($|[^\p{L}\p{N}_])') AND NOT contains(lower(o), 'house') AND NOT contains(lower(o), 'store')) THEN '' ELSE o END AS occupation FROM c""",

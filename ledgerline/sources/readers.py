@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import time
+import urllib.parse
+import urllib.request
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.codecs import parse_pipe, parse_yaml
 from ..functions.text import is_ocr_junk, parse_dir, trim
 from ..schema import ALIGNED, EXAMPLE, PAGE_OCR, SCORED_ENTRY, TAGGED_ENTRY
+from .scratch import folder, put
+
+
+def download(spark: SparkSession, uri: str, at: str, tries: int = 3, wait: float = 1.5) -> str:
+    """The path of an http resource's copy in the folder ``at``; it is tried again after growing waits."""
+    for k in range(tries):
+        try:
+            with urllib.request.urlopen(uri, timeout=120) as f:
+                return put(spark, f"{at}/{urllib.parse.urlsplit(uri).path.rsplit('/', 1)[-1] or 'resource'}", f.read())
+        except OSError:
+            if k + 1 == tries:
+                raise
+            time.sleep(wait * (k + 1))
 
 
 def local_copy(uri: str, folder: str, fetch=None) -> str:
@@ -23,21 +39,26 @@ def local_copy(uri: str, folder: str, fetch=None) -> str:
     return fetch(uri, folder)
 
 
+def _fetching(spark: SparkSession, uri: str, fetch):
+    """The caller's function, or ``download`` for http; hub URIs need the caller's, as they need its client."""
+    return fetch or ((lambda u, at: download(spark, u, at or folder(spark))) if uri.startswith("http") else None)
+
+
 def json_lines(spark: SparkSession, path: str, schema=EXAMPLE) -> DataFrame:
     """Lines of JSON; blank ones are skipped, broken ones end the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def examples(spark: SparkSession, uri: str, folder: str = "", fetch=None) -> DataFrame:
-    return json_lines(spark, local_copy(uri, folder, fetch))
+def examples(spark: SparkSession, uri: str, at: str = "", fetch=None) -> DataFrame:
+    return json_lines(spark, local_copy(uri, at, _fetching(spark, uri, fetch)))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path).select("record.*")
 
 
-def whole_text(spark: SparkSession, uri: str, folder: str = "", fetch=None) -> DataFrame:
-    return spark.read.text(local_copy(uri, folder, fetch), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def whole_text(spark: SparkSession, uri: str, at: str = "", fetch=None) -> DataFrame:
+    return spark.read.text(local_copy(uri, at, _fetching(spark, uri, fetch)), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def tolerant_json(lines: DataFrame, value: str, schema: str) -> DataFrame:

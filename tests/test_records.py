@@ -1,4 +1,4 @@
-"""Codecs, scores, converters and rules on small golden cases."""
+"""Codecs, scores, converters and rules on small golden cases, whose values are fixed."""
 
 import json
 
