@@ -91,15 +91,15 @@ def pool_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.pool(spark, f"{base}/pool", strict=False)
 
 
-@query("""WITH z AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_custkey * 3 END AS n FROM customer) SELECT name, n FROM z""")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 9 = 0 THEN 0 ELSE n_nationkey * 3 END::BIGINT AS n FROM nation")
 def zipped_table(spark: SparkSession, d: str) -> DataFrame:
     """A table in a zip archive; one of its rows equals the header, and counts."""
-    rows = customers(spark, d).select("k", "c_name").orderBy("k").toPandas()  # a small file is made by the driver
-    lines = "\n".join(f'{k},"{n}",{"(S)" if k % 9 == 0 else k * 3}' for k, n in rows.itertuples(index=False))
+    base, nations = _pages(spark, d)
+    lines = "\n".join(f'{x.n_nationkey},"{x.n_name}",{"(S)" if x.n_nationkey % 9 == 0 else x.n_nationkey * 3}' for x in nations)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("names.csv", f"rank,name,count\n{lines}\nrank,name,count\n")
-    table = readers.csv_in_zip(spark, put(spark, f"{folder(spark)}/names.zip", out.getvalue()), "names.csv", ["name", "count", "none"])
+    table = readers.csv_in_zip(spark, put(spark, f"{base}/names.zip", out.getvalue()), "names.csv", ["name", "count", "none"])
     table = table.where("none is null and name <> 'name'")
     return table.select("name", F.coalesce(F.col("count").try_cast("long"), F.lit(0)).cast("long").alias("n"))
 
