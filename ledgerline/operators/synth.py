@@ -33,19 +33,20 @@ CONTRACTED = {"Edward": "Edw^d", "Richard": "Rich^d", "Robert": "Rob^t", "Samuel
 SURNAMES = "Ackerman Adams Bauer Becker Bennett Brennan Byrne Callahan Carpenter Clancy Conklin Crane Curran Daly Decker Dolan Donnelly Dougherty Egan Engel Farley Fay Fink Flanagan Foster Gallagher Geiger Gibson Gorman Haas Hamilton Hart Healy Heinrich Hogan Horton Jackson Jacobs Keenan Keller Kirby Klein Koch Lang Levy Lockwood Mahoney Mandel Mead Meyer Mooney Mulligan Nolan Odell Parker Peck Quinn Reilly Richter Roth Sauer Seaman Shea Stein Sutton Tighe Tracy Underhill Vogel Wagner Weiss Whelan Young Zimmer".split()
 #: Trades and how often; what women were listed with.
 TRADES = [("clerk", 28), ("laborer", 25), ("carpenter", 11), ("tailor", 8), ("driver", 7), ("grocer", 7), ("mason", 6), ("painter", 6), ("shoemaker", 6), ("porter", 5), ("baker", 4), ("butcher", 4), ("machinist", 4), ("peddler", 4), ("printer", 4), ("sailor", 3), ("barber", 3), ("bookkeeper", 3), ("cooper", 3), ("hatter", 2), ("janitor", 2), ("jeweler", 2), ("merchant", 2), ("plumber", 2), ("waiter", 2), ("watchman", 2), ("weaver", 2), ("broker", 1), ("engineer", 1), ("importer", 1), ("lawyer", 1), ("physician", 1), ("stationer", 1)]
-WOMENS_TRADES = ["boardinghouse", "cook", "corsets", "dressmaker", "laundress", "matron", "milliner", "nurse", "seamstress", "teacher", "washer"]
-SHORT_TRADES = {"clerk": "clk", "laborer": "lab", "carpenter": "carp.", "machinist": "mach", "merchant": "mer.", "bookkeeper": "bkpr", "engineer": "eng", "watchman": "watchm.", "importer": "imp.", "shoemaker": "shoemak.", "dressmaker": "dressmkr."}
+WOMENS_TRADES = ["boardinghouse", "cloakmaker", "corsets", "dressmaker", "embroiderer", "furnished rooms", "glovemaker", "governess", "hairdresser", "lacemaker", "matron"]
+SHORT_TRADES = {"clerk": "cl", "laborer": "labr", "carpenter": "carpr.", "machinist": "machst", "merchant": "merchnt", "bookkeeper": "bookpr", "engineer": "engr", "watchman": "wtchmn", "importer": "impr.", "shoemaker": "shoemkr", "dressmaker": "drsmkr.", "plumber": "plumbr", "stationer": "statnr"}
 FIRM_TRADES = ["bakers", "brokers", "chemists", "hats", "ironware", "provisions"]
 GOODS = ["baskets", "books", "brushes", "carpets", "china", "cigars", "clocks", "feed", "fruit", "glass", "hay", "lamps", "lumber", "seeds", "silks", "stoves", "teas", "toys"]
-GOODS_TAIL = ["dealer", "house", "store", "vender"]
-MADE = ["box", "brush", "candle", "clock", "comb", "glove", "harness", "lamp", "saddle", "sail", "spoon", "umbrella"]
-SECOND_TRADES = ["agent", "appraiser", "auctioneer", "conveyancer", "notary", "surveyor"]
-CHURCH_POSTS, POSTS = ["beadle", "organist", "sexton", "warden"], ["collector", "inspector", "measurer", "weigher"]
-POST_OF = ["coal", "customs", "grain", "hay", "lumber", "the harbor", "the market", "weights"]
+GOODS_TAIL = ["agency", "depot", "shop", "warehouse"]
+MADE = ["bell", "box", "brush", "candle", "comb", "glove", "harness", "lamp", "saddle", "sail", "spoon", "umbrella"]
+SECOND_TRADES = ["agent", "bookseller", "conveyancer", "interpreter", "sign painter", "valuer"]
+CHURCH_POSTS, POSTS = ["beadle", "chorister", "sexton", "warden"], ["assessor", "comptroller", "register", "superintendent"]
+POST_OF = ["bridges", "buildings", "coal", "ferries", "grain", "sewers", "streets", "the harbor"]
 CHURCHES = ["2d Reformed Church", "All Saints Church", "Calvary Chapel", "Christ Church", "Grace Church", "St Lukes Church", "St Marys Chapel", "Zion Church"]
 WORKS = ["Battery baths", "City Hall", "brewery", "cotton mill", "dry dock", "ferry house", "powder mill", "print works", "sail loft", "tannery"]
 LATE_FIRMS = ["Atlas Ins Co", "Borough Bank", "City Ry Co", "Dept of Parks", "Empire Tel Co", "Gen Ship Co", "Harbor Ex Co", "Home Trust Co", "Metro Gas Co", "Natl Paper Co", "Union Ice Co"]
-LATE_POSTS = ["acct", "asst sec", "cashr", "clk", "eng", "mgr", "pres", "slsmn", "supt", "treas"]
+LATE_POSTS = ["acct", "adjuster", "asst cashr", "auditor", "buyer", "cashr", "chemist", "draftsman", "paymaster", "teller"]
+MID_POSTS = ["foreman", "overseer", "storekpr", "timekpr"]
 STREETS = ["Bank", "Bayard", "Beach", "Bond", "Broome", "Carmine", "Charles", "Christopher", "Columbia", "Crosby", "Eldridge", "Elizabeth", "Elm", "Ferry", "Great Jones", "Grove", "Horatio", "Howard", "Jane", "Jay", "Laight", "Lewis", "Mercer", "Morton", "Oliver", "Perry", "Pitt", "Ridge", "Sheriff", "Stone", "Sullivan", "Thompson", "Vandam", "Varick", "West", "Wooster"]
 LATE_STREETS = ["Audubon av", "Bradhurst av", "Bryant av", "Claremont av", "Edgecombe av", "Gramercy pk", "Hamilton pl", "Haven av", "Hoe av", "Jerome av", "Lenox av", "Manhattan av", "Morris av", "Mt Morris pk", "Ogden av", "Sedgwick av", "Southern blvd", "St Nicholas av"]
 EARLY_STREETS = ["Anthony", "Barley", "Church", "Fletcher", "Garden", "Gold", "Harman", "Little Dock", "Lombard", "Lumber", "Moore", "Partition", "Princess", "Rose", "Rutgers", "Stone", "Vesey", "Whitehall"]
@@ -55,11 +56,12 @@ OUT_OF_TOWN = ["Bayonne N J", "Bridgeport Conn", "Dobbs Ferry", "Englewood N J",
 TOWN_STREETS = ["Adams", "Aspen", "Buena Vista", "Cedar", "Columbus", "Delaware", "Evergreen", "First Natl", "Hickory", "Jefferson", "Lincoln", "Magnolia", "Nogales", "Osage", "Osceola", "Phoenix", "Rockford", "Spruce", "Victor", "Wheeling"]
 TOWN_QUARTER = ["Apache", "Jasper", "Lansing", "Oklahoma", "Pine", "Queen", "Tecumseh", "Virgin"]
 TOWN_BUILDINGS, TOWN_HOTELS, SUBURBS = ["Alexander Bldg", "Central Bldg", "Iowa Bldg", "Palace Bldg", "Robinson Bldg"], ["Brady Hotel", "Hotel Lee", "Oxford Hotel", "Terminal Hotel"], ["Alsuma", "Broken Arrow", "Carbondale", "Jenks", "Sapulpa rd"]
-TOWN_TRADES = [("clk", 30), ("lab", 25), ("carp", 12), ("salsn", 10), ("stenogr", 9), ("mech", 8), ("bkpr", 7), ("tchr", 6), ("driver", 6), ("maid", 5), ("oil worker", 5), ("porter", 5), ("painter", 4), ("cook", 4), ("contr", 3), ("barber", 3), ("grocer", 3), ("physician", 2), ("lawyer", 2)]
-EMPLOYED = ["clk", "lab", "salsn", "stenogr", "mech", "bkpr", "tchr", "driver", "maid", "oil worker", "porter", "cook"]
-SERVICE_TRADES = ["barber", "bootblack", "cook", "driver", "janitor", "lab", "laundress", "maid", "porter", "waiter"]
+TOWN_TRADES = [("clerk", 26), ("laborer", 22), ("carpenter", 11), ("salesman", 10), ("mechanic", 9), ("stenog", 9), ("bookpr", 7), ("teacher", 6), ("auto mech", 5), ("oil worker", 5), ("trucker", 5), ("fireman", 4), ("painter", 4), ("barber", 3), ("contractor", 3), ("grocer", 3), ("dentist", 2), ("lawyer", 2), ("physician", 2)]
+EMPLOYED = ["clerk", "laborer", "salesman", "mechanic", "stenog", "bookpr", "teacher", "auto mech", "oil worker", "trucker", "fireman"]
+SERVICE_TRADES = ["bellboy", "bootblack", "dishwasher", "elevator opr", "houseman", "ironer", "laundress", "pantryman", "yardman"]
 TOWN_FIRMS = ["Central High School", "City Water Wks", "Exchange Oil Co", "Kendall College", "Midland Ry", "Natl Supply Co", "Oklahoma Nat Gas Co", "Palace Clothiers", "Street Ry Co", "Tulsa World"]
 TOWN_LINES = ["attorneys", "bakery", "drugs", "furniture", "grocers", "hardware", "laundry", "oil producers", "plumbers", "real est"]
+TOWN_SUFFIXES, TOWN_WORDS, TOWN_TAILS = ["& CO", "& SON", "& SONS", "BROS", "STORES"], ["BAKING", "CANDY", "COAL", "LUMBER", "SHOE"], ["& Bro", "Hdw Co", "Lumber Co", "Supply Co"]
 
 # ---------------------------------------------------------------- fixed values
 
@@ -78,7 +80,9 @@ RARE, SHORTENED, COMPOUND, TRADE_SHORTENED, COMMA, CAPITALS, DITTO = (.12, .08,
 HOME_MARKS, FUSED_MARKS = [("h", 40), ("h.", 28), ("b", 12), ("r", 8), ("bds", 12)], [("h", 75), ("r", 18), ("H", 7)]
 SOLE_MARKS, DENSE_MARKS = [("h", 55), ("h.", 15), ("bds", 15), ("r", 8), ("b", 7)], [("h", 55), ("r", 25), ("H", 8), ("b", 5), ("bds", 7)]
 RACE = [("col^d", 4), ("colored", 2), ("col", 2), ("(co^d)", 2)]
-SUFFIXES = ["jr", "jr.", "Jr", "jun.", "sen.", "senr."]
+SUFFIXES, WOMENS_TITLES, MENS_TITLES = ["jr", "jr.", "Jr", "jun.", "sen.", "senr."], ["Mrs", "Miss"], ["Rev", "Dr", "Capt"]
+#: What stands before a late husband's name, by era.
+WIDOWS = {"early": [("widow of ", 5), ("widow ", 2), ("wid. ", 2), ("w. of ", 1)], "mid": [("wid ", 4), ("wid. ", 3), ("widow of ", 2), ("widow ", 1)], "late": [("wid ", 5), ("wid. ", 4), ("Wid. ", 1)]}
 STREET_KINDS = [("st", 30), ("", 40), ("av", 14), ("lane", 5), ("pl", 4), ("slip", 3), ("sq", 2), ("ter", 2)]
 TOWN_KINDS = [("av", 60), ("", 28), ("boul", 4), ("pl", 4), ("ter", 2), ("ct", 2)]
 #: Confusions of reading machines.
@@ -237,7 +241,7 @@ def _city_street(r: Rolls, p: str) -> list[Stage]:
         {
             p: f"CASE WHEN {roll} < 0.096e0 THEN {ordinal(f'{p}_av')} || ' av' WHEN {roll} < 0.16e0 THEN 'av ' || {r.pick(f'{p}_letter', 'ABCD')} WHEN {roll} < 0.34e0 THEN {ordinal(f'{p}_n')} || ' st' ELSE {joined(' ', r.pick(f'{p}_name', STREETS), f'{p}_type')} END",
             f"{p}_early": r.pick(f"{p}_early", EARLY_STREETS),
-            f"{p}_late": f"CASE WHEN {roll} < 0.42e0 THEN {r.pick(f'{p}_side', 'WE')} || CASE WHEN {r.below(f'{p}_fused', 0.75)} THEN '' ELSE ' ' END || {ordinal(f'{p}_far')} WHEN {roll} < 0.5e0 THEN {r.pick(f'{p}_lettered', ['Av A', 'AvA', 'Av B', 'Av C', 'Av D', '1st av', '2d av', '3d av', '4th av', '5th av', '7th av', '8th av'])} ELSE {r.pick(f'{p}_lname', LATE_STREETS)} END",
+            f"{p}_late": f"CASE WHEN {roll} < 0.42e0 THEN {r.pick(f'{p}_side', 'WE')} || CASE WHEN {r.below(f'{p}_fused', 0.75)} THEN '' ELSE ' ' END || {ordinal(f'{p}_far')} WHEN {roll} < 0.5e0 THEN CASE WHEN {r.below(f'{p}_lettered', 0.4)} THEN 'Av ' || {r.pick(f'{p}_avletter', 'ABCD')} ELSE {ordinal(f'{p}_av')} || ' av' END ELSE {r.pick(f'{p}_lname', LATE_STREETS)} END",
         },
     ]
 
@@ -302,8 +306,7 @@ def city_stages(seed: int, engine: Engine = SPARK) -> list[Stage]:
     """Entries of a large city's volumes over three eras: from row_id, surname, surname2 and occupation."""
     r = Rolls("city", seed, engine)
     h = r.pick("husband", MEN)
-    widows = {"early": [("widow of ", 5), ("widow ", 2), ("wid. ", 2), ("w. of ", 1)], "mid": [("wid ", 4), ("wid. ", 3), ("widow of ", 2), ("widow ", 1)], "late": [("wid ", 5), ("wid. ", 4), ("Wid. ", 1)]}
-    marked = " ".join(f"WHEN era = '{e}' THEN {r.weighted(f'wid_{e}', pairs)}" for e, pairs in widows.items())
+    marked = " ".join(f"WHEN era = '{e}' THEN {r.weighted(f'wid_{e}', pairs)}" for e, pairs in WIDOWS.items())
     era, firm = r.u("era"), r.u("firm")
     ditto_mark = f"CASE publisher WHEN 'polk' THEN '\" ' WHEN 'trow' THEN '-' ELSE CASE WHEN era = 'mid' OR {r.below('ditto_mark', 0.4)} THEN '-' ELSE '\" ' END END"
     ends = lambda x: r.like(x, f" ({'|'.join(QUARTERS)})$")
@@ -339,12 +342,12 @@ def city_stages(seed: int, engine: Engine = SPARK) -> list[Stage]:
             "hired": f"NOT is_business AND NOT widow AND NOT principal AND trade_firm = '' AND trade <> '' AND (dense AND {r.below('hired', 0.20)} OR era = 'mid' AND NOT dense AND {r.below('hired', '''(CASE WHEN publisher = 'hearne' THEN 0.25e0 ELSE 0.04e0 END)''')})",
             "pastor": r.below("pastor", 0.30),
             "caps": f"NOT is_business AND NOT ditto AND {r.below('caps', by_era(CAPITALS))}",
-            "firm_name": f"CASE WHEN era = 'late' AND {r.below('firm_ditto', 0.10)} THEN CASE publisher WHEN 'trow' THEN '-' ELSE '\" ' END || {r.pick('firm_a', INITIALS)} || ' ' || {r.pick('firm_b', 'ABCEFHJLMW')} || ' & Co' ELSE CASE WHEN {firm} < 0.4e0 THEN surname || ' & ' || surname2 WHEN {firm} < 0.7e0 THEN surname || ' & Co' WHEN {firm} < 0.85e0 THEN surname || ' Bros' ELSE surname || ' & Son' END END",
+            "firm_name": f"CASE WHEN era = 'late' AND {r.below('firm_ditto', 0.10)} THEN CASE publisher WHEN 'trow' THEN '-' ELSE '\" ' END || {r.pick('firm_a', INITIALS)} || ' ' || {r.pick('firm_b', INITIALS)} || ' & Co' ELSE CASE WHEN {firm} < 0.4e0 THEN surname || ' & ' || surname2 WHEN {firm} < 0.7e0 THEN surname || ' & Co' WHEN {firm} < 0.85e0 THEN surname || ' Bros' ELSE surname || ' & Son' END END",
         },
         {
             "person": f"CASE WHEN ditto THEN {ditto_mark} || {joined(' ', 'given', _initial(r, 'ditto_middle', 0.45))} WHEN own_name THEN surname || ' ' || own ELSE {joined(' ', 'surname', 'given', _initial(r, 'middle', 0.30, 0.35), 'suffix')} END",
             "employer": f"CASE WHEN is_business OR widow THEN '' WHEN trade_firm <> '' THEN trade_firm WHEN principal THEN surname2 || ' & ' || {r.pick('partner', ['Co', 'Bros', *SURNAMES[:9]])} WHEN NOT hired THEN '' WHEN dense THEN CASE WHEN {r.below('known_firm', 0.8)} THEN {r.pick('late_firm', LATE_FIRMS)} ELSE surname2 || ' & Co' END WHEN pastor THEN {r.pick('pastor_of', CHURCHES)} ELSE {r.pick('works', WORKS)} END",
-            "job": f"CASE WHEN is_business THEN {r.pick('firm_trade', FIRM_TRADES)} WHEN widow THEN CASE WHEN {r.below('widow_jobless', 0.6)} THEN '' ELSE {r.pick('widow_trade', WOMENS_TRADES)} END WHEN principal AND {r.below('principal_jobless', 0.7)} THEN '' WHEN NOT hired THEN trade WHEN dense THEN {r.pick('late_post', LATE_POSTS)} WHEN pastor THEN 'pastor' ELSE {r.pick('foreman', ['foreman', 'supt', 'clk', 'eng', 'watchman'])} END",
+            "job": f"CASE WHEN is_business THEN {r.pick('firm_trade', FIRM_TRADES)} WHEN widow THEN CASE WHEN {r.below('widow_jobless', 0.6)} THEN '' ELSE {r.pick('widow_trade', WOMENS_TRADES)} END WHEN principal AND {r.below('principal_jobless', 0.7)} THEN '' WHEN NOT hired THEN trade WHEN dense THEN {r.pick('late_post', LATE_POSTS)} WHEN pastor THEN 'pastor' ELSE {r.pick('mid_post', MID_POSTS)} END",
             "emp_of": "trade_firm <> '' AND NOT widow AND NOT is_business OR hired AND NOT dense AND pastor",
             "two": f"NOT is_business AND {r.below('two', by_era((.15, .35, .35)))}", "across": f"NOT is_business AND {r.below('across', 0.03)}",
         },
@@ -397,21 +400,21 @@ def town_stages(seed: int, engine: Engine = SPARK) -> list[Stage]:
     """Entries of a smaller city's volume of one year: from row_id, surname and surname2."""
     r = Rolls("town", seed, engine)
     kind = r.u("firm")
-    suffix = r.pick("firm_suffix", ["& CO", "BROS", "& SON", "CO", "& SONS"])
+    suffix = r.pick("firm_suffix", TOWN_SUFFIXES)
     stages = [
         {"is_business": r.below("business", 0.06), "female": r.below("female", 0.30)},
         {"race_designation": f"CASE WHEN {r.below('race', '(CASE WHEN is_business THEN 0.05e0 ELSE 0.085e0 END)')} THEN '(c)' ELSE '' END"},
         {"quarter": f"race_designation = '(c)' AND (is_business OR {r.below('quarter', 0.6)})"},
         *_given(r, "given", "female", False), *_given(r, "wife", "true", False, 0), *_town_address(r),
         {
-            "title": f"CASE WHEN female AND {r.below('title', 0.20)} THEN {r.pick('title_w', ['Mrs', 'Miss'])} WHEN NOT female AND {r.below('title', 0.04)} THEN {r.pick('title_m', ['Rev', 'Dr', 'Capt'])} ELSE '' END",
-            "firm_name": f"CASE WHEN {kind} < 0.4e0 THEN upper(surname) || ' ' || upper(surname2) || ' ' || {suffix} WHEN {kind} < 0.7e0 THEN upper(surname) || ' ' || {suffix} ELSE upper(surname) || ' ' || {r.pick('trade_word', ['DRUG', 'GROCERY', 'MOTOR', 'OIL', 'REALTY'])} || ' CO' END",
+            "title": f"CASE WHEN female AND {r.below('title', 0.20)} THEN {r.pick('title_w', WOMENS_TITLES)} WHEN NOT female AND {r.below('title', 0.04)} THEN {r.pick('title_m', MENS_TITLES)} ELSE '' END",
+            "firm_name": f"CASE WHEN {kind} < 0.4e0 THEN upper(surname) || ' ' || upper(surname2) || ' ' || {suffix} WHEN {kind} < 0.7e0 THEN upper(surname) || ' ' || {suffix} ELSE upper(surname) || ' ' || {r.pick('trade_word', TOWN_WORDS)} || ' CO' END",
             "occupation_role": f"CASE WHEN is_business THEN CASE WHEN {r.below('firm_line', 0.7)} THEN {r.pick('firm_which', TOWN_LINES)} ELSE '' END WHEN {r.below('jobless', 0.27)} THEN '' WHEN race_designation = '(c)' AND {r.below('served', 0.7)} THEN {r.pick('service', SERVICE_TRADES)} ELSE {r.weighted('job', TOWN_TRADES)} END",
         },
         {
             "name": f"CASE WHEN is_business THEN firm_name ELSE {joined(' ', 'surname', 'title', 'given', _initial(r, 'middle', 0.45))} END",
-            "employer": f"CASE WHEN is_business OR occupation_role = '' THEN '' WHEN {r.below('employed', f'''(CASE WHEN {one_of('occupation_role', EMPLOYED)} THEN 0.55e0 ELSE 0.10e0 END)''')} THEN CASE WHEN {r.below('known_firm', 0.75)} THEN {r.pick('employer', TOWN_FIRMS)} ELSE surname2 || ' ' || {r.pick('employer_tail', ['& Co', 'Bros', 'Drug Co', 'Oil Co'])} END ELSE '' END",
-            "spouse_name": f"CASE WHEN is_business THEN '' WHEN NOT female AND {r.below('wife', 0.45)} THEN wife || CASE WHEN {r.below('wife_middle', 0.25)} THEN ' ' || {r.pick('wife_initial', 'ABEHJLMRS')} ELSE '' END WHEN female AND {r.below('widow', 0.30)} THEN 'wid ' || {r.pick('husband', MEN)} ELSE '' END",
+            "employer": f"CASE WHEN is_business OR occupation_role = '' THEN '' WHEN {r.below('employed', f'''(CASE WHEN {one_of('occupation_role', EMPLOYED)} THEN 0.55e0 ELSE 0.10e0 END)''')} THEN CASE WHEN {r.below('known_firm', 0.75)} THEN {r.pick('employer', TOWN_FIRMS)} ELSE surname2 || ' ' || {r.pick('employer_tail', TOWN_TAILS)} END ELSE '' END",
+            "spouse_name": f"CASE WHEN is_business THEN '' WHEN NOT female AND {r.below('wife', 0.45)} THEN wife || CASE WHEN {r.below('wife_middle', 0.25)} THEN ' ' || {r.pick('wife_initial', INITIALS)} ELSE '' END WHEN female AND {r.below('widow', 0.30)} THEN 'wid ' || {r.pick('husband', MEN)} ELSE '' END",
         },
         {"line": f"{joined(', ', joined(' ', 'name', 'race_designation', '''CASE WHEN spouse_name = '' THEN '' ELSE '(' || spouse_name || ')' END'''), joined(' ', 'occupation_role', 'employer'), 'address')}"},
         {
