@@ -93,12 +93,16 @@ def schedule(sources: DataFrame) -> DataFrame:
     return slots.withColumn("block", (F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1).cast("long"))
 
 
-def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with ``size``, ``start`` (words before them in their source's shuffled order), ``range`` and ``nth``
+def measured(docs: DataFrame) -> DataFrame:
+    """The documents with their size, source, and what they are shuffled by."""
+    source = F.when(F.col("source").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("source").cast("string")))
+    return docs.withColumns({"size": size_of(F.col("text").cast("string")), "_key": order_key(F.col("doc_id")), "_tie": row_hash(), "_source": source})
+
+
+def placed(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Measured documents with ``start`` (words before them in their source's shuffled order), ``range`` and ``nth``
     (with rank a row's own key) and their source's figures; and the schedule."""
-    bits = min(32, max(RANGE_BITS, (docs.count() // RANGE_DOCS).bit_length()))
-    d = docs.withColumn("size", size_of(F.col("text").cast("string"))).withColumn("_key", order_key(F.col("doc_id"))).withColumn("_tie", row_hash())
-    d = d.withColumn("_source", F.when(F.col("source").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("source").cast("string"))))
+    bits = min(32, max(RANGE_BITS, (d.count() // RANGE_DOCS).bit_length()))
     d = d.withColumn("range", F.shiftright("_key", 32 - bits))
     totals = d.groupBy("_source", "range").agg(F.sum("size").alias("_total"))
     offset = F.sum("_total").over(Window.partitionBy("_source").orderBy("range")) - F.col("_total")
@@ -140,8 +144,9 @@ def pieces(d: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the slot that takes the document's first word."""
-    d, plan = placed(docs.select("doc_id", "source", "text"))
-    p = pieces(d.drop("text", "source"), plan)
+    # Written: a few numbers a document, which several steps read; texts are looked at once.
+    d, plan = placed(cut(measured(docs.select("doc_id", "source", "text")).drop("text", "source")))
+    p = pieces(d, plan)
     some = F.col("z") > F.col("a")
     first = F.min_by(F.when(some, F.col("slot")), F.when(some, F.struct("copy", "block")))
     taken = p.groupBy("rank", "range", "nth", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("z") - F.col("a")).alias("taken"), first.alias("first_slot"))
@@ -165,7 +170,7 @@ def scheduled(docs: DataFrame) -> DataFrame:
 
     The text is the piece's; a document that fits its block is whole.  Documents may have columns of these names.
     """
-    d, plan = placed(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")))
+    d, plan = placed(measured(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))))
     p = pieces(d, plan).where("z > a")
     n = F.col("z") - F.col("a")
     text = F.when(n < F.col("size"), _words(F.col("text"), F.col("a") - F.col("lo"), n)).otherwise(F.col("text"))
@@ -179,7 +184,7 @@ def mix(docs: DataFrame) -> DataFrame:
     A document stands whole in the slot of its first piece; where a source's last block ends within a document, the
     last copy of that document ends there too.
     """
-    d, plan = placed(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")))
+    d, plan = placed(measured(docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row"))))
     d = copies(d).where("hi > lo").withColumn("block", F.expr(_FIRST)).join(plan, ["rank", "block"])
     n = F.col("hi") - F.col("lo")
     d = _in_order(d.withColumn("text", F.when(n < F.col("size"), _words(F.col("text"), F.lit(0), n)).otherwise(F.col("text"))), ["text", "_row"])
