@@ -82,20 +82,35 @@ def tagged_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TAGGED_ENTRY).option("multiLine", True).json(path)
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, pos and line of text files, read in splits; line ends are \\n, \\r\\n or \\r.
+def _placed(files: DataFrame, whole: F.Column) -> DataFrame:
+    """file, pos and line of a text reader's rows; a line's place is that in its ``whole``, a file or several in order of their paths.
 
-    Splits of a file are in order of where they begin, and lines of a split in the order in which they are read; so a
-    line's place is the number of lines of the splits before, a small table, and its number within its split.
+    The rows are taken twice, as lines and as counts, by the same splits: Spark makes splits anew for each scan, and by
+    the files that a filter leaves to that, so the scan's RDD is made once, and filters don't reach through it.
     """
-    d = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_read"), F.col("value").alias("line"))
+    d = files.select("file", F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_read"), F.col("value").alias("line"))
+    d = DataFrame(d.sparkSession._jsparkSession.createDataFrame(d._jdf.javaRDD(), d._jdf.schema()), d.sparkSession)
     splits = d.groupBy("file", "_split").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # paths come encoded, but for +
+    before = F.sum("_n").over(Window.partitionBy(whole).orderBy(path, "_split")) - F.col("_n")
     within = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_read")) - 1
     d = d.withColumn("_within", within).join(splits.withColumn("_before", before), ["file", "_split"])
     return d.select("file", (F.col("_before") + F.col("_within")).cast("int").alias("pos"), "line")
 
 
+def _text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.text(paths).withColumn("file", F.col("_metadata.file_path"))
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, pos and line of text files, read in splits; line ends are \\n, \\r\\n or \\r.
+
+    Splits of a file are in order of where they begin, and lines of a split in the order in which they are read; so a
+    line's place is the number of lines of the splits before, a small table, and its number within its split.
+    """
+    return _placed(_text(spark, paths), F.col("file"))
+
+
 def _in_files(parts: DataFrame) -> DataFrame:
     """parts (file, pos, block) with row_id: their number over all files in order of path."""
     counts = parts.groupBy("file").agg(F.count("*").alias("_n"))
@@ -175,10 +190,14 @@ def csv_in_zip(spark: SparkSession, path: str, member: str, columns: list[str])
     return rows.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
 
 
-def text_lines(spark: SparkSession, paths: str | list[str], exclude: str = "template") -> DataFrame:
-    """file, pos, line of text files, but for those with a certain word in their name."""
+def text_lines(spark: SparkSession, paths: str | list[str], exclude: str = "template", by: str = "file") -> DataFrame:
+    """file, pos, line of text files, but for those with a certain word in their name.
+
+    By "folder", a folder's files in order of their names are one text, and pos is a line's place in that.
+    """
     name = F.lower(F.element_at(F.split("file", "/"), -1))
-    return numbered_lines(spark, paths).where(~F.contains(name, F.lit(exclude)))
+    whole = {"file": F.col("file"), "folder": F.regexp_replace("file", "/[^/]*$", "")}[by]
+    return _placed(_text(spark, paths).where(~F.contains(name, F.lit(exclude))), whole)
 
 
 def ocr_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -31,6 +31,21 @@ def test_query(spark, sql, name):
         assert len(got.columns)
 
 
+@pytest.mark.parametrize("name", ["text_files", "ocr_files"])
+def test_volumes_in_several_files(spark, tmp_path, name):
+    """Places go on from file to file when a volume's sort makes several; rows may also be repeated with other keys and the same names."""
+    one = spark.read.parquet(f"{D}/customer.parquet")
+    one.unionByName(one.withColumn("c_custkey", one.c_custkey + 1000)).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = core.QUERIES[name](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert rows(got) == rows(c.sql(core.ORACLE_SQL[name]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -161,6 +161,33 @@ def test_lines_in_splits(spark, tmp_path):
     assert [got["a.txt", k] for k in range(500)] == [f"line {k}" for k in range(500)] and [got["b.txt", k] for k in range(4)] == ["first", "second", "", "fourth"] and len(got) == 504
 
 
+def test_lines_of_a_folder(spark, tmp_path):
+    """Places go on from file to file of a folder, in order of names; a template in it doesn't count, nor other folders."""
+    for name, lines in (("v/b 2.txt", range(200, 203)), ("v/a.txt", range(200)), ("v/b!1.txt", range(203, 250)), ("v/b+%é.txt", range(250, 300)), ("v/A_Template.txt", [-1]), ("w/a.txt", range(2))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join(f"line {k}\n" for k in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = sorted((r.file.split("/")[-2], r.pos, r.line) for r in readers.text_lines(spark, f"{tmp_path}/*", by="folder").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(v, k, f"line {k}") for v, n in (("v", 300), ("w", 2)) for k in range(n)]
+
+
+@pytest.mark.parametrize("by", ["file", "folder"])
+def test_lines_beside_a_large_template(spark, tmp_path, by):
+    """Spark cuts files by the sizes of all that it reads: no line is lost when one of those is left out."""
+    for name in ("a.txt", "template.txt"):
+        (tmp_path / name).write_text("".join(f"line {k}\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        d = [readers.text_lines(spark, str(tmp_path), by=by), readers.numbered_lines(spark, str(tmp_path)).where("file not like '%/template.txt'")]
+        got = [sorted((r.pos, r.line) for r in x.collect()) for x in d]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [[(k, f"line {k}") for k in range(500)]] * 2
+
+
 def test_tables_keep_quotes(spark, tmp_path):
     value = 'a "quoted", text\\ with a line\nend'
     sinks.append_rows(frame(spark, [("ia", "1", value)], "source string, id string, title string"), str(tmp_path / "t"))
